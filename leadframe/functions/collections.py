@@ -32,59 +32,78 @@ def chunk_array(c: Column | str, size: int) -> Column:
 
 
 def chunk_rows(df: DataFrame, order: str, size: int, by: str | None = None) -> DataFrame:
-    """Number rows in batches of ``size`` as ``batch_id``.
-
-    With ``by`` the numbering restarts per group and is a window; without it a
-    global position is needed, which is taken from a range-partitioned sort and
-    per-partition offsets, so that no task sees all rows.
-    """
-    if by is not None:
-        pos = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-        return df.withColumn("batch_id", F.floor(pos / size))
-    return global_position(df, order).withColumn(
+    """Number rows in batches of ``size`` as ``batch_id``, per group with ``by``."""
+    return global_position(df, order, by).withColumn(
         "batch_id", F.floor(F.col("position") / size)
     ).drop("position")
 
 
-def global_position(df: DataFrame, order: str) -> DataFrame:
+def global_position(
+    df: DataFrame, order: str, by: str | None = None, width: int = 1 << 16
+) -> DataFrame:
     """Add a dense 0-based ``position`` in the order of a unique integer column.
 
-    Rows are grouped into fixed-width buckets of the order column.  Offsets come
-    from the bucket counts (a prefix sum over a table that is smaller by the
-    width), and the rank is only taken inside a bucket of at most ``width`` rows.
+    Rows are ranked inside buckets of ``width`` consecutive order values, so no
+    task ever sorts a whole group; the offsets come from the bucket counts, and
+    those of wide ranges from the counts of bucket groups.
     """
-    width = 1 << 16
-    bucket = F.floor(F.col(order) / width)
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    if_wide = counts.withColumn("_super", F.floor(F.col("_bucket") / width))
-    supers = if_wide.groupBy("_super").agg(F.sum("_n").alias("_sn"))
-    super_before = F.coalesce(
-        F.sum("_sn").over(
-            Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
-    before = F.coalesce(
-        F.sum("_n").over(
-            Window.partitionBy("_super")
-            .orderBy("_bucket")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
-    )
+    group = [by] if by is not None else []
+    rows = df.withColumn("_bucket", F.floor(F.col(order) / width))
+    counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_super", F.floor(F.col("_bucket") / width))
+    supers = counts.groupBy(*group, "_super").agg(F.sum("_n").alias("_sn"))
+
+    def before(n: str, within: list[str], along: str) -> Column:
+        w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+        earlier = w.orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(n).over(earlier), F.lit(0))
+
+    supers = supers.withColumn("_sb", before("_sn", group, "_super"))
     offsets = (
-        if_wide.join(supers.withColumn("_sb", super_before), "_super")
-        .withColumn("_off", before + F.col("_sb"))
-        .select("_bucket", "_off")
+        _null_safe_join(counts, supers, group + ["_super"])
+        .withColumn("_off", before("_n", group + ["_super"], "_bucket") + F.col("_sb"))
+        .select(*group, "_bucket", "_off")
     )
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1
+    local = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(order)) - 1
     return (
-        rows.join(offsets, "_bucket")
+        _null_safe_join(rows, offsets, group + ["_bucket"])
         .withColumn("position", local + F.col("_off"))
         .drop("_bucket", "_off")
     )
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    renamed = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_r{k}"]) for k in keys]
+    return left.join(renamed, on).drop(*[f"_r{k}" for k in keys])
+
+
+def next_value(
+    df: DataFrame, by: str, order: str, value: Column, alias: str, width: int = 1 << 16
+) -> DataFrame:
+    """Forward as-of lookup: the first non-null ``value`` after each row.
+
+    ``order`` is an integer, unique per group.  A row first looks inside its
+    bucket of ``width`` order values; the first value of the later buckets comes
+    from one summary row per bucket.  A hot group is so spread over many tasks.
+    """
+    rows = df.withColumn("_v", value).withColumn("_bucket", F.floor(F.col(order) / width))
+    inside = Window.partitionBy(by, "_bucket").orderBy(order)
+    after = inside.rowsBetween(1, Window.unboundedFollowing)
+    buckets = rows.groupBy(by, "_bucket").agg(
+        F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_first")
+    )
+    later = Window.partitionBy(by).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
+    following = buckets.select(
+        by, "_bucket", F.first("_first", ignorenulls=True).over(later).alias("_later")
+    )
+    near = rows.withColumn("_near", F.first("_v", ignorenulls=True).over(after))
+    return (
+        _null_safe_join(near, following, [by, "_bucket"])
+        .withColumn(alias, F.coalesce("_near", "_later"))
+        .drop("_v", "_bucket", "_near", "_later")
+    )
+
+
 def null_to_empty(c: Column | str) -> Column:
     return F.coalesce(as_col(c), F.array().cast("array<string>"))

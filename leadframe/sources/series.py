@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from leadframe.functions.dates import date_spine, day_path
 
@@ -44,11 +43,3 @@ def take_while_filled(
         .filter(F.col("_stop").isNull() | (F.col(page) < F.col("_stop")))
         .drop("_stop")
     )
-
-
-def next_value(
-    df: DataFrame, by: str, order: str, value: Column, alias: str
-) -> DataFrame:
-    """Forward as-of lookup: the first non-null ``value`` after each row."""
-    later = Window.partitionBy(by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(alias, F.first(value, ignorenulls=True).over(later))
