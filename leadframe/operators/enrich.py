@@ -137,7 +137,7 @@ def categorize(technologies: Column) -> Column:
         own = [n for n in names if n not in taken]
         taken.update(own)
         members = F.array(*[F.lit(n) for n in own]).cast("array<string>")
-        hits = F.filter(technologies, lambda t, m=members: F.array_contains(m, t))
+        hits = F.array_intersect(technologies, members)
         arrays[category] = F.array_sort(F.transform(hits, title_name))
     return S.build(S.TECH_STACK, **arrays)
 

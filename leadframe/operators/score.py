@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadframe import schema as S
-from leadframe.functions.collections import null_to_empty
 from leadframe.functions.text import blank, round2
 
 # --- fixed values: scoring tables -------------------------------------------
@@ -136,8 +135,14 @@ def priority(total: Column) -> Column:
     return F.when(total >= 70, "high").when(total >= 40, "medium").otherwise("low")
 
 
-def score_struct(weights: dict[str, float] | None = None, ignore_case: bool = False) -> Column:
-    """Score of the company columns of the current DataFrame."""
+def score_companies(
+    df: DataFrame, weights: dict[str, float] | None = None, ignore_case: bool = False
+) -> DataFrame:
+    """Fill ``score``.  Only projections; see ``rank`` for the ordering.
+
+    The components are their own projection, so each is computed once although
+    the total, the priority and the stored parts all use it.
+    """
     w = normalize_weights(weights)
     e = F.col("enrichment")
     parts = {
@@ -149,22 +154,18 @@ def score_struct(weights: dict[str, float] | None = None, ignore_case: bool = Fa
         ),
     }
     total = F.lit(0.0)
-    for name, part in parts.items():
-        total = total + part * F.lit(w[name])
-    total = F.least(total, F.lit(100.0))
-    return S.build(
+    for name in parts:
+        total = total + F.col(f"_{name}") * F.lit(w[name])
+    staged = df.withColumns({f"_{n}": c for n, c in parts.items()}).withColumn(
+        "_total", F.least(total, F.lit(100.0))
+    )
+    score = S.build(
         S.SCORE,
-        total_score=round2(total),
-        priority=priority(total),
-        **{f"{name}_score": round2(part) for name, part in parts.items()},
+        total_score=round2("_total"),
+        priority=priority(F.col("_total")),
+        **{f"{name}_score": round2(f"_{name}") for name in parts},
     )
-
-
-def score_companies(
-    df: DataFrame, weights: dict[str, float] | None = None, ignore_case: bool = False
-) -> DataFrame:
-    """Fill ``score``.  A pure projection; see ``rank`` for the ordering."""
-    return df.withColumn("score", score_struct(weights, ignore_case))
+    return staged.withColumn("score", score).drop("_total", *[f"_{n}" for n in parts])
 
 
 def min_score(df: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadframe.plans import queries_text
+from leadframe.plans import queries_leads, queries_sources, queries_text
 
-GROUPS = [queries_text]
+GROUPS = [queries_text, queries_leads, queries_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -506,7 +506,7 @@ def generic_candidates(pages: DataFrame, url: str = "url", html: str = "html") -
 
     headings = [
         _candidates(
-            nodes, page_url, F.filter(nodes, lambda n, t=tag: n["tag"] == t),
+            nodes, page_url, F.filter(nodes, Selector(tag).test),
             lambda size: (size > 2) & (size < 50),
             lambda x: clean_text(text_in(subtree(nodes, x["e"]))),
             lambda x: element_text(F.get(nodes, x["e"]["next_p"])),
@@ -515,10 +515,8 @@ def generic_candidates(pages: DataFrame, url: str = "url", html: str = "html") -
     ]
 
     def is_item(n: Column) -> Column:
-        hits = F.lit(False)
-        for word in ITEM_WORDS:
-            hits = hits | F.exists(n["classes"], lambda c, w=word: c.contains(w))
-        return n["tag"].isin("div", "li") & hits
+        words = "|".join(ITEM_WORDS)
+        return n["tag"].isin("div", "li") & F.exists(n["classes"], lambda c: c.rlike(words))
 
     items = _candidates(
         nodes, page_url, F.slice(F.filter(nodes, is_item), 1, 20),
