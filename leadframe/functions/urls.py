@@ -52,95 +52,99 @@ def validate_url(c: Column | str) -> Column:
     return F.when(blank(c), F.lit(False)).otherwise(with_protocol(c).rlike(_VALID))
 
 
-def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _PARTS, group)
-
-
-def _fold_dots(segments: Column) -> Column:
-    """Resolve '.' and '..' path segments."""
-    empty = F.array().cast("array<string>")
-    folded = F.aggregate(
-        segments,
-        empty,
-        lambda acc, s: F.when(
-            s == "..",
-            F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc),
-        )
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    last_is_dot = F.element_at(segments, -1).isin(".", "..")
-    return F.when(last_is_dot, F.concat(folded, F.array(F.lit("")))).otherwise(folded)
+# The functions below need many parts of a URL at once.  Their bodies are SQL
+# lambdas: one expression to parse instead of hundreds of column calls, and
+# values that are bound once per row by ``_let``.
 
 
-def _path_of(segments: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_join(segments, "/"), F.lit("")), F.lit("/"))
+def _let(value: Column, body: str) -> Column:
+    """``body`` (SQL) with ``value`` bound to ``x``; evaluated once per row."""
+    bound = F.call_function("transform", F.array(value), F.expr(f"x -> {body}"))
+    return F.get(bound, F.lit(0))
 
 
-def _has_dots(path: Column) -> Column:
-    return path.rlike(r"(^|/)\.\.?(/|$)")
+def _sql_let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _split_url(url: Column) -> Column:
+def _sql_parts(url: str) -> str:
     """Parts of a URL as a struct; missing parts are ''."""
-    return F.struct(
-        F.lower(_part(url, 1)).alias("scheme"),
-        _part(url, 2).alias("host"),
-        _part(url, 3).alias("path"),
-        _part(url, 4).alias("query"),
-        _part(url, 5).alias("frag"),
+    part = lambda i: f"regexp_extract({url}, r'{_PARTS}', {i})"
+    return (
+        f"named_struct('scheme', lower({part(1)}), 'host', {part(2)}, 'path', {part(3)}, "
+        f"'query', {part(4)}, 'frag', {part(5)})"
     )
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it many times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+_HAS_DOTS = r"rlike r'(^|/)\.\.?(/|$)'"
 
 
-def _prefixed(mark: str, part: Column) -> Column:
-    return F.when(part != "", F.concat(F.lit(mark), part)).otherwise("")
+def _sql_fold(segments: str) -> str:
+    """Path of a segment array with '.' and '..' resolved."""
+    folded = (
+        f"aggregate({segments}, cast(array() AS array<string>), (acc, s) -> CASE "
+        "WHEN s = '..' THEN if(size(acc) > 0, slice(acc, 1, size(acc) - 1), acc) "
+        "WHEN s = '.' THEN acc ELSE concat(acc, array(s)) END)"
+    )
+    tail = f"if(element_at({segments}, -1) IN ('.', '..'), array(''), cast(array() AS array<string>))"
+    return f"coalesce(nullif(array_join(concat({folded}, {tail}), '/'), ''), '/')"
 
 
-def _merge_paths(base_path: Column, path: Column) -> Column:
-    """Path of a relative reference against the base path, dots resolved."""
-    folder = F.split(F.regexp_replace(base_path, "[^/]*$", ""), "/")
-    folder = F.when(
-        base_path.rlike("[^/]$"), F.slice(folder, 1, F.size(folder) - 1)
-    ).otherwise(folder)
+def _sql_prefixed(mark: str, part: str) -> str:
+    return f"if({part} <> '', concat('{mark}', {part}), '')"
 
-    def squeeze(parts: Column) -> Column:
-        middle = F.filter(F.slice(parts, 2, F.size(parts) - 2), lambda s: s != "")
-        return F.concat(F.slice(parts, 1, 1), middle, F.slice(parts, -1, 1))
 
-    relative = _let(F.concat(folder, F.split(path, "/")), squeeze)
-    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(relative)
-    return _let(
-        segments,
-        lambda p: _path_of(F.when(_has_dots(F.array_join(p, "/")), _fold_dots(p)).otherwise(p)),
+def _sql_percent(text: str, unsafe: str) -> str:
+    """Percent-encode the characters of a class, as UTF-8 bytes."""
+    return (
+        f"if({text} rlike r'[{unsafe}]', array_join(transform(split({text}, ''), ch -> "
+        f"if(ch rlike r'[{unsafe}]', regexp_replace(hex(encode(ch, 'UTF-8')), '(..)', '%$1'), ch)), ''), "
+        f"{text})"
     )
 
 
-def _resolve(base: Column, link: Column) -> Column:
-    def combine(x: Column) -> Column:
-        b, u = x["b"], x["u"]
-        bare = u["path"] == ""
-        own_host = u["host"] != ""
-        host = F.when(own_host, u["host"]).otherwise(b["host"])
-        path = F.when(own_host, u["path"]).when(bare, b["path"]).otherwise(
-            F.when(u["path"].startswith("/") & ~_has_dots(u["path"]), u["path"])
-            .otherwise(_merge_paths(b["path"], u["path"]))
-        )
-        query = F.when(~own_host & bare & (u["query"] == ""), b["query"]).otherwise(u["query"])
-        slash = F.when((path == "") | path.startswith("/"), "").otherwise("/")
-        return F.when((u["scheme"] != "") & (u["scheme"] != b["scheme"]), link).otherwise(
-            F.concat(
-                b["scheme"], F.lit("://"), host, slash, path,
-                _prefixed("?", query), _prefixed("#", u["frag"]),
+# merge of a base path and a relative path; empty inner segments vanish
+_MERGED = _sql_let(
+    "folder",
+    "if(b.path rlike '[^/]$', slice(split(regexp_replace(b.path, '[^/]*$', ''), '/'), 1, "
+    "size(split(regexp_replace(b.path, '[^/]*$', ''), '/')) - 1), "
+    "split(regexp_replace(b.path, '[^/]*$', ''), '/'))",
+    _sql_let(
+        "raw",
+        "concat(folder, split(u.path, '/'))",
+        _sql_let(
+            "segs",
+            "concat(slice(raw, 1, 1), filter(slice(raw, 2, size(raw) - 2), g -> g <> ''), "
+            "slice(raw, -1, 1))",
+            _sql_fold("segs"),
+        ),
+    ),
+)
+_U_SEGMENTS = "split(u.path, '/')"
+_NEW_PATH = (
+    "CASE WHEN u.host <> '' THEN u.path WHEN u.path = '' THEN b.path "
+    f"WHEN startswith(u.path, '/') AND NOT u.path {_HAS_DOTS} THEN u.path "
+    f"WHEN startswith(u.path, '/') THEN {_sql_fold(_U_SEGMENTS)} "
+    f"ELSE {_MERGED} END"
+)
+_RESOLVE = _sql_let(
+    "b", _sql_parts("x.base"),
+    _sql_let(
+        "u", _sql_parts("x.link"),
+        "if(u.scheme <> '' AND u.scheme <> b.scheme, x.link, "
+        + _sql_let(
+            "p", _NEW_PATH,
+            "concat(b.scheme, '://', if(u.host <> '', u.host, b.host), "
+            "if(p = '' OR startswith(p, '/'), '', '/'), p, "
+            + _sql_let(
+                "q", "if(u.host = '' AND u.path = '' AND u.query = '', b.query, u.query)",
+                _sql_prefixed("?", "q"),
             )
+            + f", {_sql_prefixed('#', 'u.frag')})",
         )
-
-    both = F.struct(_split_url(base).alias("b"), _split_url(link).alias("u"))
-    return _let(both, combine)
+        + ")",
+    ),
+)
 
 
 def resolve_url(base: Column | str, href: Column | str) -> Column:
@@ -150,28 +154,13 @@ def resolve_url(base: Column | str, href: Column | str) -> Column:
     return (
         F.when(absolute, link)
         .when(link == "", as_col(base))
-        .otherwise(_resolve(as_col(base), link))
-    )
-
-
-def _percent(c: Column, unsafe: str) -> Column:
-    """Percent-encode the characters of an (escaped) class, as UTF-8 bytes."""
-    encoded = F.array_join(
-        F.transform(
-            F.split(c, ""),
-            lambda ch: F.when(
-                ch.rlike(f"[{unsafe}]"),
-                F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1"),
-            ).otherwise(ch),
-        ),
-        "",
+        .otherwise(_let(F.struct(as_col(base).alias("base"), link.alias("link")), _RESOLVE))
     )
-    return F.when(c.rlike(f"[{unsafe}]"), encoded).otherwise(c)
 
 
-_PATH_UNSAFE = r"\x00-\x20\"<>`{}\x7f-\x{10ffff}"
-_QUERY_UNSAFE = r"\x00-\x20\"'<>\x7f-\x{10ffff}"
-_FRAGMENT_UNSAFE = r"\x00-\x20\"<>`\x7f-\x{10ffff}"
+_PATH_UNSAFE = r"\x00-\x20\x22<>`{}\x7f-\x{10ffff}"
+_QUERY_UNSAFE = r"\x00-\x20\x22\x27<>\x7f-\x{10ffff}"
+_FRAGMENT_UNSAFE = r"\x00-\x20\x22<>`\x7f-\x{10ffff}"
 
 
 # A URL that already is in canonical form.
@@ -181,6 +170,38 @@ _CANONICAL = (
     r"(?:\?[A-Za-z0-9_~%!$&()*+,;=:@./?\-]+)?(?:#[A-Za-z0-9_~%!$&()*+,;=:@./?\-]+)?$"
 )
 
+_HOST_OK = r"r'^[^\s\x00-\x20<>^|%\[\]\\]+$|^\[[0-9a-f:.]+\]$'"
+_CANONICAL_PATH = (
+    "if(u.path = '', '/', "
+    + _sql_let(
+        "p",
+        f"if(u.path {_HAS_DOTS}, {_sql_fold(_U_SEGMENTS)}, u.path)",
+        _sql_percent("p", _PATH_UNSAFE),
+    )
+    + ")"
+)
+_CANONICALIZE = _sql_let(
+    "u", _sql_parts("x"),
+    _sql_let(
+        "h",
+        "named_struct('user', regexp_extract(u.host, '^([^@]*@)', 1), "
+        "'port', regexp_extract(u.host, ':([0-9]+)$', 1), "
+        "'raw', lower(regexp_replace(regexp_replace(u.host, '^[^@]*@', ''), ':[0-9]*$', '')))",
+        _sql_let(
+            "host",
+            r"if(h.raw rlike r'[^\x00-\x7f]', try_reflect('java.net.IDN', 'toASCII', h.raw), h.raw)",
+            f"if(u.scheme IN ('http', 'https') AND coalesce(host rlike {_HOST_OK}, false) "
+            "AND length(x) <= 2083 "
+            "AND (h.port = '' OR coalesce(try_cast(h.port AS int), 99999) <= 65535), "
+            "concat(u.scheme, '://', h.user, host, "
+            "if(h.port = if(u.scheme = 'http', '80', '443'), '', "
+            f"{_sql_prefixed(':', 'h.port')}), {_CANONICAL_PATH}, "
+            f"{_sql_prefixed('?', _sql_percent('u.query', _QUERY_UNSAFE))}, "
+            f"{_sql_prefixed('#', _sql_percent('u.frag', _FRAGMENT_UNSAFE))}), NULL)",
+        ),
+    ),
+)
+
 
 def canonical_url(c: Column | str) -> Column:
     """Canonical absolute http(s) URL, or null when the value is not one.
@@ -192,51 +213,10 @@ def canonical_url(c: Column | str) -> Column:
     url = as_col(c)
     done = url.rlike(_CANONICAL) & (F.length(url) <= 2083)
     return F.when(done, url).otherwise(
-        _canonical(F.regexp_replace(F.trim(url), r"[\t\r\n]", ""))
+        _let(F.regexp_replace(F.trim(url), r"[\t\r\n]", ""), _CANONICALIZE)
     )
 
 
-def _canonical(url: Column) -> Column:
-    def with_host(u: Column) -> Column:
-        host_port = F.regexp_replace(u["host"], r"^[^@]*@", "")
-        raw_host = F.lower(F.regexp_replace(host_port, r":[0-9]*$", ""))
-        ascii_host = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), raw_host)
-        return F.struct(
-            u.alias("u"),
-            F.regexp_extract(u["host"], r"^([^@]*@)", 1).alias("user"),
-            F.when(raw_host.rlike(r"[^\x00-\x7f]"), ascii_host).otherwise(raw_host).alias("host"),
-            F.regexp_extract(host_port, r":([0-9]+)$", 1).alias("port"),
-        )
-
-    def assemble(x: Column) -> Column:
-        u, host, port = x["u"], x["host"], x["port"]
-        scheme, path = u["scheme"], u["path"]
-        default_port = F.when(scheme == "http", F.lit("80")).otherwise(F.lit("443"))
-        clean_path = F.when(
-            _has_dots(path), _path_of(_fold_dots(F.split(path, "/")))
-        ).otherwise(path)
-        valid = (
-            scheme.isin("http", "https")
-            & F.coalesce(
-                host.rlike(r"^[^\s\x00-\x20<>^|%\[\]\\]+$|^\[[0-9a-f:.]+\]$"), F.lit(False)
-            )
-            & (F.length(url) <= 2083)
-            & ((port == "") | (F.coalesce(port.try_cast("int"), F.lit(99999)) <= 65535))
-        )
-        return F.when(
-            valid,
-            F.concat(
-                scheme, F.lit("://"), x["user"], host,
-                F.when(port == default_port, "").otherwise(_prefixed(":", port)),
-                F.when(path == "", "/").otherwise(_percent(clean_path, _PATH_UNSAFE)),
-                _prefixed("?", _percent(u["query"], _QUERY_UNSAFE)),
-                _prefixed("#", _percent(u["frag"], _FRAGMENT_UNSAFE)),
-            ),
-        )
-
-    return _let(_let(_split_url(url), with_host), assemble)
-
-
 def search_url(base: Column, **filters: Column | str | None) -> Column:
     """Listing address with the given optional filters, joined by '&'."""
     parts = []

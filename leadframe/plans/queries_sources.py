@@ -281,7 +281,7 @@ def l_best_sites(spark, d):
 
 def l_sites(spark, d):
     """All sites: domain matching, technologies, score, minimum score."""
-    return _sites_scored(spark, d, minimum=35.0).select(
+    return _sites_scored(spark, d, minimum=25.0).select(
         "seq", "domain", "score.total_score", "score.priority"
     )
 
@@ -433,5 +433,5 @@ ORACLES = {
         NULL::BIGINT AS open_positions,
         nullif(array_to_string(string_split(all_tech, ', ')[1:5], ', '), '') AS technologies FROM top""",
     "l_sites": f"""{_SITES_SCORED} SELECT seq, domain, total_score, priority FROM scored
-        WHERE total_score >= 35""",
+        WHERE total_score >= 25""",
 }

@@ -112,15 +112,21 @@ def _field(field: T.StructField, given: dict[str, Column]) -> Column:
     if field.name in given:
         value = given[field.name]
         value = value if isinstance(value, Column) else F.lit(value)
-    elif field.name in _DEFAULTS:
-        value = F.lit(_DEFAULTS[field.name])
+        return value.cast(field.dataType).alias(field.name)
+    return F.expr(_default_sql(field))
+
+
+def _default_sql(field: T.StructField) -> str:
+    default = _DEFAULTS.get(field.name)
+    if default is not None:
+        value = f"'{default}'" if isinstance(default, str) else str(default)
     elif isinstance(field.dataType, T.ArrayType):
-        value = F.array()
+        value = "array()"
     elif isinstance(field.dataType, T.MapType):
-        value = F.create_map()
+        value = "map()"
     else:
-        value = F.lit(None)
-    return value.cast(field.dataType).alias(field.name)
+        value = "NULL"
+    return f"CAST({value} AS {field.dataType.simpleString()}) AS {field.name}"
 
 
 def companies(df: DataFrame, **given: Column) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadframe.functions.text import as_col
+
 TEXT = "#text"
 
 NODES = T.ArrayType(
@@ -170,6 +172,16 @@ def with_nodes(pages: DataFrame, tags: Iterable[str] | None = None, html: str =
 
 
 # --- selectors on node arrays --------------------------------------------------
+# Tests are SQL predicates on a node ``n``.
+
+
+def where(nodes: Column | str, test: str) -> Column:
+    """Nodes that pass a test."""
+    return F.call_function("filter", as_col(nodes), F.expr(f"n -> {test}"))
+
+
+def first_node(nodes: Column | str, test: str) -> Column:
+    return F.get(where(nodes, test), F.lit(0))
 
 
 def subtree(nodes: Column, node: Column) -> Column:
@@ -179,8 +191,8 @@ def subtree(nodes: Column, node: Column) -> Column:
 
 def text_in(nodes: Column) -> Column:
     """All text of a node list, joined as it stands."""
-    pieces = F.filter(nodes, lambda n: n["tag"] == TEXT)
-    return F.array_join(F.transform(pieces, lambda n: n["text"]), "")
+    pieces = F.call_function("transform", where(nodes, f"n.tag = '{TEXT}'"), F.expr("n -> n.text"))
+    return F.array_join(pieces, "")
 
 
 def text_of(nodes: Column, node: Column) -> Column:
@@ -188,10 +200,6 @@ def text_of(nodes: Column, node: Column) -> Column:
     return F.when(node.isNotNull(), text_in(subtree(nodes, node)))
 
 
-def first_node(nodes: Column, test) -> Column:
-    return F.get(F.filter(nodes, test), F.lit(0))
-
-
 def page_title(html: Column | str) -> Column:
     """Text of the title element, without shredding the page."""
     raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)

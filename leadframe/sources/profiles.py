@@ -27,7 +27,7 @@ from leadframe.functions.text import (
     strip_show_prefix,
 )
 from leadframe.functions.urls import canonical_url, extract_domain, resolve_url
-from leadframe.sources.html import first_node, subtree, text_in, with_nodes
+from leadframe.sources.html import first_node, subtree, text_in, text_of, where, with_nodes
 
 # --- fixed values: site roots of the profiles ----------------------------------
 DIRECTORY_ROOT = "https://www.angellist.com"
@@ -45,19 +45,19 @@ class Selector:
     attr: str | None = None  # attribute must exist
     value: str | None = None  # ... and equal this
 
-    def test(self, node: Column) -> Column:
-        ok = node["tag"] == self.tag
+    @property
+    def test(self) -> str:
+        """SQL predicate on a node ``n``."""
+        parts = [f"n.tag = '{self.tag}'"]
         if self.cls is not None:
-            ok = ok & F.array_contains(node["classes"], self.cls)
+            parts.append(f"array_contains(n.classes, '{self.cls}')")
         if self.cls_has is not None:
-            ok = ok & F.exists(
-                node["classes"], lambda c: F.lower(c).contains(self.cls_has)
-            )
-        if self.attr is not None and self.value is None:
-            ok = ok & node["attrs"][self.attr].isNotNull()
+            parts.append(f"exists(n.classes, c -> contains(lower(c), '{self.cls_has}'))")
         if self.value is not None:
-            ok = ok & F.coalesce(node["attrs"][self.attr] == self.value, F.lit(False))
-        return ok
+            parts.append(f"coalesce(n.attrs['{self.attr}'] = '{self.value}', false)")
+        elif self.attr is not None:
+            parts.append(f"n.attrs['{self.attr}'] IS NOT NULL")
+        return " AND ".join(parts)
 
     @property
     def literal(self) -> str | None:
@@ -108,7 +108,7 @@ def read_cards(pages: DataFrame, profile: Profile, html: str = "html") -> DataFr
     nodes = F.col("nodes")
     chosen = None
     for selector in reversed(profile.cards):
-        found = F.filter(nodes, selector.test)
+        found = where(nodes, selector.test)
         chosen = found if chosen is None else F.when(F.size(found) > 0, found).otherwise(chosen)
     if profile.max_cards is not None:
         chosen = F.slice(chosen, 1, profile.max_cards)
@@ -405,7 +405,7 @@ def read_news_board(
     keep = [c for c in pages.columns if c != "html"]
     nodes = F.col("nodes")
     rows = F.transform(
-        F.slice(F.filter(nodes, NEWS_ROW.test), 1, 20),
+        F.slice(where(nodes, NEWS_ROW.test), 1, 20),
         lambda r: F.struct(
             r["pos"].alias("card_pos"), r["attrs"]["id"].alias("row_id"),
             subtree(nodes, r).alias("below"),
@@ -475,71 +475,69 @@ ITEM_WORDS = ["item", "card", "row", "listing"]
 GENERIC_TAGS = frozenset(["h2", "h3", "h4", "a", "p", "div", "li", "tr"])
 
 
-def _candidates(nodes: Column, page_url: Column, elements: Column, keep, name_of, desc_of) -> Column:
-    """Candidates (ord, name, url, description) of a list of elements."""
-    with_link = F.transform(
-        elements, lambda e: F.struct(e.alias("e"), first_node(subtree(nodes, e), LINK.test).alias("a"))
+_ITEM_TEST = (
+    "n.tag IN ('div', 'li') AND exists(n.classes, c -> c rlike '" + "|".join(ITEM_WORDS) + "')"
+)
+
+
+def _tagged(kind: int, elements: Column) -> Column:
+    return F.call_function(
+        "transform", elements, F.expr(f"e -> named_struct('kind', {kind}, 'e', e)")
     )
-    linked = F.filter(with_link, lambda x: ~blank(x["a"]["attrs"]["href"]))
-    named = F.transform(
-        linked,
+
+
+def _candidates(nodes: Column, elements: Column) -> Column:
+    """Candidates (kind, name, href, description) of (kind, element) pairs.
+
+    The name is the heading's text (kind 1) or the link's (2, 3); the description
+    is the next paragraph after a heading or the first one inside an item.
+    """
+    with_link = F.transform(
+        elements,
         lambda x: F.struct(
-            name_of(x).alias("name"),
-            x["e"]["pos"].alias("card_pos"),
-            resolve_url(page_url, x["a"]["attrs"]["href"]).alias("url"),
-            desc_of(x).cast("string").alias("description"),
+            x["kind"].alias("kind"), x["e"].alias("e"),
+            first_node(subtree(nodes, x["e"]), LINK.test).alias("a"),
         ),
     )
-    return F.filter(named, lambda c: keep(F.length(c["name"])))
+    linked = F.call_function("filter", with_link, F.expr("x -> coalesce(x.a.attrs['href'], '') <> ''"))
+
+    def candidate(x: Column) -> Column:
+        named = F.when(x["kind"] == 1, x["e"]).otherwise(x["a"])
+        told = F.when(x["kind"] == 1, F.get(nodes, x["e"]["next_p"])).when(
+            x["kind"] == 2, first_node(subtree(nodes, x["e"]), "n.tag = 'p'")
+        )
+        return F.struct(
+            x["kind"].alias("kind"),
+            clean_text(text_in(subtree(nodes, named))).alias("name"),
+            x["a"]["attrs"]["href"].alias("href"),
+            text_of(nodes, told).alias("told"),
+        )
+
+    sizes = "CASE c.kind WHEN 1 THEN length(c.name) BETWEEN 3 AND 49 " \
+            "WHEN 2 THEN length(c.name) > 0 ELSE length(c.name) > 5 END"
+    return F.call_function("filter", F.transform(linked, candidate), F.expr(f"c -> {sizes}"))
 
 
 def generic_candidates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Listing candidates of each page: headings, else items, else table rows."""
     keep = [c for c in pages.columns if c != html]
-    nodes, page_url = F.col("nodes"), F.col(url)
-
-    def element_text(n: Column) -> Column:
-        return F.when(n.isNotNull(), clean_text(text_in(subtree(nodes, n))))
-
-    def link_name(x: Column) -> Column:
-        return clean_text(text_in(subtree(nodes, x["a"])))
-
-    headings = [
-        _candidates(
-            nodes, page_url, F.filter(nodes, Selector(tag).test),
-            lambda size: (size > 2) & (size < 50),
-            lambda x: clean_text(text_in(subtree(nodes, x["e"]))),
-            lambda x: element_text(F.get(nodes, x["e"]["next_p"])),
-        )
-        for tag in HEADING_TAGS
-    ]
-
-    def is_item(n: Column) -> Column:
-        words = "|".join(ITEM_WORDS)
-        return n["tag"].isin("div", "li") & F.exists(n["classes"], lambda c: c.rlike(words))
-
-    items = _candidates(
-        nodes, page_url, F.slice(F.filter(nodes, is_item), 1, 20),
-        lambda size: size > 0, link_name,
-        lambda x: element_text(first_node(subtree(nodes, x["e"]), lambda n: n["tag"] == "p")),
-    )
-    rows = _candidates(
-        nodes, page_url, F.slice(F.filter(nodes, lambda n: n["tag"] == "tr"), 1, 50),
-        lambda size: size > 5, link_name, lambda x: F.lit(None),
-    )
-    tried = with_nodes(pages, GENERIC_TAGS, html).withColumn("s1", F.concat(*headings))
-    found = tried.withColumn(
-        "s2", F.when(F.size("s1") == 0, items)
-    ).withColumn(
-        "s3", F.when((F.size("s1") == 0) & (F.size("s2") == 0), rows)
+    nodes = F.col("nodes")
+    headings = F.concat(*[_tagged(1, where(nodes, Selector(t).test)) for t in HEADING_TAGS])
+    others = F.concat(
+        _tagged(2, F.slice(where(nodes, _ITEM_TEST), 1, 20)),
+        _tagged(3, F.slice(where(nodes, "n.tag = 'tr'"), 1, 50)),
     )
-    chosen = F.when(F.size("s1") > 0, F.col("s1")).when(
-        F.size("s2") > 0, F.col("s2")
-    ).otherwise(F.col("s3"))
-    strategy = F.when(F.size("s1") > 0, 1).when(F.size("s2") > 0, 2).otherwise(3)
-    exploded = found.select(*keep, strategy.alias("strategy"), F.posexplode(chosen).alias("ord", "c"))
+    first = with_nodes(pages, GENERIC_TAGS, html).withColumn("s1", _candidates(nodes, headings))
+    # items and rows are only looked at where no heading qualified
+    second = first.withColumn("s2", F.when(F.size("s1") == 0, _candidates(nodes, others)))
+    found = second.select(*keep, F.when(F.size("s1") > 0, F.col("s1")).otherwise(F.col("s2")).alias("all"))
+    best = F.call_function("transform", "all", F.expr("c -> c.kind"))
+    found = found.withColumn("strategy", F.array_min(best))
+    chosen = F.filter("all", lambda c: c["kind"] == F.col("strategy"))
+    exploded = found.select(*keep, "strategy", F.posexplode(chosen).alias("ord", "c"))
     return exploded.select(
-        *keep, "strategy", "ord", "c.name", F.col("c.url").alias("link"), "c.description"
+        *keep, "strategy", "ord", "c.name", resolve_url(url, "c.href").alias("link"),
+        F.when(F.col("c.told").isNotNull(), clean_text("c.told")).alias("description"),
     )
 
 
@@ -577,16 +575,24 @@ def read_generic(pages: DataFrame, page_order: str = "page_id", url: str = "url"
 def read_product_details(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Website, domain, makers and topics of product pages."""
     nodes = F.col("nodes")
-    by_mark = lambda v: Selector("a", attr="data-test", value=v).test
-    own_text = lambda n: text_in(subtree(nodes, n))
-    marked = first_node(nodes, by_mark("website-link"))
-    named = first_node(
-        nodes, lambda n: (n["tag"] == "a") & F.lower(own_text(n)).contains("website")
-    )
-    texts = lambda v: F.transform(
-        F.filter(nodes, by_mark(v)), lambda n: clean_text(own_text(n))
+
+    def marked(value: str) -> str:
+        return Selector("a", attr="data-test", value=value).test
+
+    def texts(value: str) -> Column:
+        return F.transform(
+            where(nodes, marked(value)), lambda n: clean_text(text_in(subtree(nodes, n)))
+        )
+
+    with_text = F.transform(
+        where(nodes, "n.tag = 'a'"),
+        lambda n: F.struct(n.alias("n"), F.lower(text_in(subtree(nodes, n))).alias("text")),
     )
-    website = F.nullif(F.coalesce(marked, named)["attrs"]["href"], F.lit(""))
+    named = F.get(
+        F.call_function("filter", with_text, F.expr("t -> contains(t.text, 'website')")), F.lit(0)
+    )["n"]
+    hit = F.coalesce(first_node(nodes, marked("website-link")), named)
+    website = F.nullif(hit["attrs"]["href"], F.lit(""))
     keep = [c for c in pages.columns if c != html]
     return with_nodes(pages, ["a"], html).select(
         *keep,
