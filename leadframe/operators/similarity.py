@@ -142,23 +142,31 @@ def signatures(name: Column | str, bounds: Bounds, rank: dict[str, int]) -> Colu
     return keys(name)
 
 
-def similar_both_ways(a: Column | str, b: Column | str, t: float) -> Column:
-    """Bit 1: (a, b) reaches t; bit 2: (b, a) does.  The ratio is not symmetric."""
+def is_similar(new: Column | str, kept: Column | str, t: float) -> Column:
+    """Does the ratio of (new, kept) reach t?  The order matters."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("boolean")
     def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in batches:
-            yield pd.Series([_compare(x, y, t) for x, y in zip(left, right)], dtype="int32")
-
-    return compare(a, b)
-
-
-def _compare(x: str, y: str, t: float) -> int:
-    forward = SequenceMatcher(None, x, y)
-    # upper bounds first: lengths, then character counts
-    if forward.real_quick_ratio() < t or forward.quick_ratio() < t:
-        return 0
-    return (forward.ratio() >= t) + 2 * (SequenceMatcher(None, y, x).ratio() >= t)
+            yield pd.Series(_compare_batch(left, right, t), dtype="bool")
+
+    return compare(new, kept)
+
+
+def _compare_batch(new: pd.Series, kept: pd.Series, t: float) -> list[bool]:
+    """Compare pairs; the index of a kept name is built once per run of it."""
+    hits = [False] * len(new)
+    matcher, current = SequenceMatcher(None), None
+    order = sorted(range(len(new)), key=kept.tolist().__getitem__)
+    news, olds = new.tolist(), kept.tolist()
+    for i in order:
+        if olds[i] != current:
+            current = olds[i]
+            matcher.set_seq2(current)
+        matcher.set_seq1(news[i])
+        # the character-count bound first
+        hits[i] = matcher.quick_ratio() >= t and matcher.ratio() >= t
+    return hits
 
 
 def similarity(new: Column | str, kept: Column | str) -> Column:
