@@ -137,7 +137,11 @@ def listing_pages(spark: SparkSession, sf_dir: str, card: Column, head: str = ""
     """Customers rendered as listing pages of ten cards, in key order."""
     c = table(spark, sf_dir, "customer")
     page = F.floor(F.col("c_custkey") / salt).cast("bigint")
-    cards = c.select(page.alias("page_id"), F.col("c_custkey").alias("k"), card.alias("card"))
+    # the session's shuffle width, so that small but costly pages stay spread
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cards = c.select(
+        page.alias("page_id"), F.col("c_custkey").alias("k"), card.alias("card")
+    ).repartition(width, "page_id")
     body = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "card"))), lambda x: x["card"]), "\n"
     )
