@@ -26,13 +26,13 @@ def top_report(df: DataFrame, n: int = 5, techs: int = 5) -> DataFrame:
     The limit is planned as a per-partition top-n, so the window that numbers
     the lines only ever sees ``n`` rows.
     """
-    top = rank(df).limit(n)
-    position = F.row_number().over(Window.orderBy(*ranking_keys()))
     hiring = F.col("enrichment.hiring_intent")
     tech = F.col("enrichment.tech_stack")
     names = F.array_join(F.slice(all_technologies(tech), 1, techs), ", ")
-    return top.select(
-        position.alias("rank"),
+    # flat rows first: a limit right on top of the sort is planned as a top-n
+    lines = df.select(
+        F.coalesce(F.col("score.total_score"), F.lit(0.0)).alias("_total"),
+        "seq",
         "name",
         F.when(blank("domain"), "N/A").otherwise(F.col("domain")).alias("domain"),
         "source",
@@ -41,3 +41,9 @@ def top_report(df: DataFrame, n: int = 5, techs: int = 5) -> DataFrame:
         F.when(hiring["is_hiring"], hiring["total_open_positions"]).alias("open_positions"),
         F.nullif(names, F.lit("")).alias("technologies"),
     )
+    order = [F.col("_total").desc(), F.col("seq").asc()]
+    top = lines.orderBy(*order).limit(n)
+    numbered = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return numbered.select(
+        "rank", "name", "domain", "source", "score", "priority", "open_positions", "technologies"
+    )

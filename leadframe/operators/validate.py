@@ -108,12 +108,16 @@ def with_source_config(df: DataFrame, source_config: DataFrame) -> DataFrame:
 def first_per_key(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """First-seen row per key; rows without a key all stay.
 
-    Only key and order are aggregated (with map-side combine, so a hot key costs
-    one row per task); the wide rows meet the winners in a semi join.
+    Only key and order are read and aggregated to find the winners (with map-side
+    combine, so a hot key costs one row per task); the wide rows are read once
+    and meet the winners in a join on the unique order column.
     """
-    winners = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
-    keyed = df.join(winners.select(order), order, "left_semi")
-    return keyed.unionByName(df.filter(F.col(key).isNull()))
+    winners = (
+        df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+        .select(order, F.lit(True).alias("_first"))
+    )
+    found = df.join(winners, order, "left")
+    return found.filter(F.col(key).isNull() | F.col("_first")).drop("_first")
 
 
 def cap_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:

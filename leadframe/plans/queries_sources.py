@@ -292,10 +292,8 @@ def l_sites_fuzzy(spark, d):
 
 
 def l_sources(spark, d):
-    """All listing sources in one run, with name matching, enrichers and score."""
+    """Four kinds of sources in one run, with name matching, enrichers and score."""
     sources = [
-        P.read_directory_a(I.directory_a_pages(spark, d)),
-        P.read_directory_b(I.directory_b_pages(spark, d)),
         J.read_organisations(I.organisation_payloads(spark, d)),
         P.read_news_board(I.news_pages(spark, d)),
         P.read_generic(I.generic_pages(spark, d)),
