@@ -123,3 +123,23 @@ def test_matching_names_share_a_key(t):
             rank = {"ab": 3, "cd": 9}
             assert set(signature_keys(a, bounds, rank)) & set(signature_keys(b, bounds, rank)), (a, b)
     assert checked > 100 or t == 1.0
+
+
+def test_ranked_tokens_do_not_change_the_result(spark, monkeypatch):
+    from leadframe.plans.inputs import page_companies
+
+    monkeypatch.setattr(D, "_RANK_FROM", 0)
+    pages = page_companies(spark, "/root/testdata/sf0.001")
+    none = F.lit(None).cast("string")
+    assert D.kept_positions(pages.withColumns({"domain": none, "website": none})).count() == 37
+
+
+def test_intermediate_tables_go_to_the_shared_folder(spark):
+    from leadframe import session
+
+    folder = session.shared_dir(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert configured is None or folder == configured.rstrip("/")
+    df = session.cut_lineage(spark.range(3))
+    assert df.count() == 3
+    assert all(folder in f for f in df.inputFiles())
