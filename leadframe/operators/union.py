@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A source holds at most 2**40 positions; the rank goes above.
-_POSITION_BITS = 40
+# Positions of a source stay below 2**56 (listing readers use 32 bits for the page
+# and 24 for the place on it); the rank of up to 127 sources goes above.
+_POSITION_BITS = 56
 
 
 def union_sources(sources: list[DataFrame], order: str = "seq") -> DataFrame:
@@ -15,6 +16,8 @@ def union_sources(sources: list[DataFrame], order: str = "seq") -> DataFrame:
     ``seq`` is computed per row from (rank of the source, position in the
     source): no shuffle and no dependence on completion order.
     """
+    if len(sources) > 127:
+        raise ValueError("too many sources")
     out = None
     for rank, df in enumerate(sources):
         seq = F.shiftleft(F.lit(rank).cast("bigint"), _POSITION_BITS) + F.col(order)

@@ -492,7 +492,7 @@ ORACLES |= {
     "w_site_cap": f"""SELECT page_id AS seq FROM pages
         QUALIFY row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) <= 2""",
     "u_union": """SELECT doc_id AS seq, lang AS name, source, CAST(NULL AS VARCHAR) AS url FROM documents
-        UNION ALL SELECT page_id + 1099511627776, 'page', NULL, url FROM pages""",
+        UNION ALL SELECT page_id + 72057594037927936, 'page', NULL, url FROM pages""",
     "k_workbook_sets": f"""{_SCORED}, summary AS ({_SUMMARY_ROWS})
         SELECT 'companies' AS sheet, name AS item, total_score AS value FROM scored
         UNION ALL SELECT 'high_priority', name, total_score FROM scored WHERE priority = 'high'
