@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_folders: dict[str, str] = {}
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """File system and path object of a folder, whatever store it is in."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``.
+    """The folder of ``spark.checkpoint.dir``; a folder in the warehouse if that is unset.
 
-    Only a local session without that setting gets a temporary folder of its own.
+    The driver and all executors share both.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; gone when the session's JVM ends."""
     app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="leadframe-")
-    return _local_dirs[app]
+    if app not in _folders:
+        path = f"{shared_dir(spark)}/leadframe-work-{app}-{uuid.uuid4().hex[:8]}"
+        files, where = _hadoop(spark, path)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _folders[app] = path
+    return _folders[app]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables; results that still read them must be written before."""
+    path = _folders.pop(spark.sparkContext.applicationId, None)
+    if path:
+        files, where = _hadoop(spark, path)
+        files.delete(where, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -32,6 +50,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Survives the loss of executors, computes the rows a single time, and gives
     the planner real sizes for its join decisions.
     """
-    path = f"{shared_dir(df.sparkSession)}/leadframe/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
