@@ -74,6 +74,10 @@ def fit(labelled: DataFrame, domains: list[str]) -> Classifier:
     return Classifier(domains, prior, [[x - y for x, y in zip(row, logs[0])] for row in logs])
 
 
+def _sum_over(indices: str, table: Column) -> Column:
+    return F.aggregate(indices, F.lit(0.0), lambda a, i: a + F.get(table, i))
+
+
 def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
     """``docs`` with the words of each text (``_tokens``) and its posteriors (``_p``: array)."""
     buckets = F.transform(words_of(text_of(text)), _bucket)
@@ -83,8 +87,7 @@ def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> D
     for prior, row in list(zip(model.prior, model.weights))[1:]:
         # a literal of BUCKETS numbers: one constant of the plan
         table = F.split(F.lit(",".join(map(repr, row))), ",").cast("array<double>")
-        evidence = F.aggregate("_buckets", F.lit(0.0), lambda a, b, t=table: a + F.get(t, b))
-        scores.append(prior + scale * evidence)
+        scores.append(prior + scale * _sum_over("_buckets", table))
     out = out.withColumn("_scores", F.array(*scores)).drop("_buckets")
     highest = F.array_max("_scores")
     out = out.withColumn("_e", F.transform("_scores", lambda s: F.exp(s - highest)))

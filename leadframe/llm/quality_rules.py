@@ -10,13 +10,14 @@ columns of the input stay out of ``judged`` and untouched in ``kept_documents``.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadframe.llm.common import SPACES, text_of, words_of
+from leadframe.llm.common import text_of, words_of
 
 #: Words of a window that counts as repeated when the text holds it again.
 WINDOW = 8
@@ -58,9 +59,9 @@ RULES = [
 ]
 
 
-def _without(text: Column, chars: str) -> Column:
+def _how_many(text: Column, chars: str) -> Column:
     """How many of these characters a text holds."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.length(F.regexp_replace(text, f"[^{re.escape(chars)}]+", "")).cast("long")
 
 
 def _repeated(words: Column, n: Column, windows: Column) -> Column:
@@ -81,16 +82,16 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     m = docs.withColumn("_text", text_of(text))
     m = m.withColumn("_words", words_of(F.col("_text"))).withColumn(
         "_lines",
-        F.filter(F.split(F.col("_text"), "\n"), lambda x: F.translate(x, SPACES, "") != ""),
+        F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     )
     words, n = F.col("_words"), F.size("_words")
     stop = sorted({w for line in STOP_WORDS.values() for w in line.split()})
     m = m.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate("_text", SPACES, "")).cast("long"),
-        "n_symbols": _without(F.col("_text"), SYMBOLS).cast("long"),
-        "n_bangs": _without(F.col("_text"), "!").cast("long"),
-        "n_capitals": _without(F.col("_text"), CAPITALS).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": _how_many(F.col("_text"), SYMBOLS),
+        "n_bangs": _how_many(F.col("_text"), "!"),
+        "n_capitals": _how_many(F.col("_text"), CAPITALS),
         "n_stop": F.size(F.filter(words, lambda w: F.lower(w).isin(stop))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
@@ -138,9 +139,11 @@ def kept_documents(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text
     """The rows of ``docs`` that pass base and rules, all columns as they were."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*names)
-    m = measured(inner, names[docs.columns.index(text)])
+    # the partition number keeps the filter above the measures: pushed below, it would hold
+    # a copy of each of them wherever the next one mentions it
+    m = measured(inner, names[docs.columns.index(text)]).withColumn("_part", F.spark_partition_id())
     failed = reduce(Column.__or__, [_fails(r) for r in [*BASE, *rules]])
-    return m.filter(~failed).select(*names).toDF(*docs.columns)
+    return m.filter(~failed & (F.col("_part") >= 0)).select(*names).toDF(*docs.columns)
 
 
 def _sql_fails(rules: list[Rule]) -> str:
@@ -156,6 +159,7 @@ def _sql_fails(rules: list[Rule]) -> str:
 def sql(rules: list[Rule] = RULES) -> str:
     """The same verdicts as one statement, by unnesting words and lines."""
     stop = ", ".join(f"'{w}'" for w in sorted({w for s in STOP_WORDS.values() for w in s.split()}))
+    grams = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER text" for k in range(1, WINDOW))])
     gone = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
     return f"""
 WITH texts AS (
@@ -167,12 +171,10 @@ counts AS (
   SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars,
     count(*) FILTER (WHERE lower(w) IN ({stop})) AS n_stop FROM words GROUP BY r),
 windows AS (
-  SELECT r, p, string_agg(w, ' ') OVER seven AS s, count(*) OVER seven AS n
-  FROM words WINDOW seven AS (
-    PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+  SELECT r, p, {grams} AS s FROM words WINDOW text AS (PARTITION BY r ORDER BY p)),
 twice AS (
   SELECT r, p FROM (
-    SELECT r, p, count(*) OVER (PARTITION BY r, s) AS c FROM windows WHERE n = {WINDOW})
+    SELECT r, p, count(*) OVER (PARTITION BY r, s) AS c FROM windows WHERE s IS NOT NULL)
   WHERE c > 1),
 covered AS (
   SELECT r, sum(least({WINDOW}, coalesce(nxt - p, {WINDOW}))) AS n_repeat_words FROM (

@@ -11,7 +11,7 @@ an empty table or an empty rule list gives the default verdict for each row.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -113,7 +113,7 @@ def judged(
     kind = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")])
 
     @F.pandas_udf(kind)
-    def judge(batches: "Iterable[pd.Series]") -> "Iterable[pd.DataFrame]":
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         root = build(Entry(*e) for e in entries.value)
         for urls in batches:
             rows = []
