@@ -53,4 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._leadframe_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table of ``cut_lineage`` that nothing will read any more."""
+    files, where = _hadoop(written.sparkSession, written._leadframe_path)
+    files.delete(where, True)
