@@ -77,7 +77,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """All measures of each row, beside the input's columns.
 
     Copies of windows are found by hash first; only texts with such a copy compare the
-    words themselves.
+    words themselves.  The number of the partition, ``_part``, keeps filters above the measures:
+    pushed below, one would hold a copy of each measure wherever the next one mentions it.
     """
     m = docs.withColumn("_text", text_of(text))
     m = m.withColumn("_words", words_of(F.col("_text"))).withColumn(
@@ -110,7 +111,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), k + 1) - p, F.lit(WINDOW))),
     )
     repeat = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    m = m.withColumn("n_repeat_words", F.coalesce(repeat, F.lit(0).cast("long")))
+    m = m.withColumns({
+        "n_repeat_words": F.coalesce(repeat, F.lit(0).cast("long")), "_part": F.spark_partition_id(),
+    })
     return m.drop("_text", "_words", "_lines", "_windows", "_sorted", "_at")
 
 
@@ -128,7 +131,7 @@ def _fails(rule: Rule) -> Column:
 def judged(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text") -> DataFrame:
     """Measures and verdict of every row: doc_id, counts, base_failed, kept."""
     m = measured(docs.select("doc_id", F.col(text).alias("text")))
-    failed = lambda rs: reduce(Column.__or__, [_fails(r) for r in rs], F.lit(False))
+    failed = lambda rs: reduce(Column.__or__, [_fails(r) for r in rs], F.col("_part") < 0)
     return m.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed(BASE).alias("base_failed"), (~failed([*BASE, *rules])).alias("kept"),
@@ -139,11 +142,9 @@ def kept_documents(docs: DataFrame, rules: list[Rule] = RULES, text: str = "text
     """The rows of ``docs`` that pass base and rules, all columns as they were."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     inner = docs.toDF(*names)
-    # the partition number keeps the filter above the measures: pushed below, it would hold
-    # a copy of each of them wherever the next one mentions it
-    m = measured(inner, names[docs.columns.index(text)]).withColumn("_part", F.spark_partition_id())
-    failed = reduce(Column.__or__, [_fails(r) for r in [*BASE, *rules]])
-    return m.filter(~failed & (F.col("_part") >= 0)).select(*names).toDF(*docs.columns)
+    m = measured(inner, names[docs.columns.index(text)])
+    failed = reduce(Column.__or__, [_fails(r) for r in [*BASE, *rules]], F.col("_part") < 0)
+    return m.filter(~failed).select(*names).toDF(*docs.columns)
 
 
 def _sql_fails(rules: list[Rule]) -> str:
