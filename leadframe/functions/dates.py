@@ -9,7 +9,10 @@ from leadframe.functions.text import as_col
 
 
 def iso_timestamp(c: Column | str) -> Column:
-    return F.date_format(as_col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """ISO text; the fraction is written in six digits, and only if there is one."""
+    fraction = F.date_format(as_col(c), ".SSSSSS")
+    whole = F.date_format(as_col(c), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(fraction == ".000000", F.lit("")).otherwise(fraction))
 
 
 def day_path(c: Column | str) -> Column:

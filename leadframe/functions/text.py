@@ -87,15 +87,21 @@ def mask_digits(c: Column | str) -> Column:
 
 
 def digits_int(c: Column | str) -> Column:
-    """The digits of a text as one number: '1,234 jobs' is 1234, none is 0."""
-    digits = F.regexp_replace(as_col(c), "[^0-9]", "")
-    return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """The digits 0 to 9 of a text as one number: '1,234 jobs' is 1234, none is 0.
+
+    A number beyond 64 bits is null, not a wrong number.
+    """
+    digits = F.coalesce(F.regexp_replace(as_col(c), "[^0-9]", ""), F.lit(""))
+    return F.when(digits == "", F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
+
+
+def strip_space(c: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(as_col(c), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
 
 
 def float_or_null(c: Column | str) -> Column:
-    return F.regexp_replace(
-        as_col(c), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", ""
-    ).try_cast("double")
+    return strip_space(c).try_cast("double")
 
 
 def title_name(c: Column | str) -> Column:

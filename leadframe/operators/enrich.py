@@ -243,12 +243,18 @@ def funding_enricher(df: DataFrame) -> DataFrame:
 
 
 def hiring_enricher(hiring: DataFrame | None = None, key: str = "domain") -> Enricher:
-    """Keep a known hiring intent; otherwise take it from ``hiring(key, hiring_intent)``."""
+    """Keep a known hiring intent; otherwise take it from ``hiring(key, hiring_intent)``.
+
+    Of several rows with one key, the one with the most open positions counts, so that a company
+    stays one row.
+    """
 
     def enrich(df: DataFrame) -> DataFrame:
         if hiring is None:
             return df
         found = hiring.select(F.col(key).alias("_k"), F.col("hiring_intent").alias("_h"))
+        order = F.struct(F.coalesce("_h.total_open_positions", F.lit(0)), F.xxhash64("_h"))
+        found = found.filter("_h IS NOT NULL").groupBy("_k").agg(F.max_by("_h", order).alias("_h"))
         joined = df.withColumn("_k", F.col(key)).join(found, "_k", "left")
         missing = F.col("enrichment.hiring_intent").isNull() & F.col("_h").isNotNull()
         return joined.withColumn(

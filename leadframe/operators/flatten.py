@@ -15,11 +15,14 @@ def all_technologies(tech_stack: Column) -> Column:
     return F.concat(*[null_to_empty(tech_stack[c]) for c in S.TECH_CATEGORIES])
 
 
-def flatten_companies(df: DataFrame, max_technologies: int = 10) -> DataFrame:
-    """The fixed 20-column export row."""
+def flatten_companies(df: DataFrame, max_technologies: int | None = None) -> DataFrame:
+    """The fixed 20-column export row, with all technologies or the first of them."""
     e, s = F.col("enrichment"), F.col("score")
     tech = e["tech_stack"]
-    names = F.array_join(F.slice(all_technologies(tech), 1, max_technologies), ", ")
+    used = all_technologies(tech)
+    if max_technologies is not None:
+        used = F.slice(used, 1, max_technologies)
+    names = F.array_join(used, ", ")
     return df.select(
         F.col("name").alias("company_name"),
         "domain",

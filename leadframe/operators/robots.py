@@ -9,9 +9,17 @@ from pyspark.sql import Window
 from leadframe.functions.urls import extract_domain
 
 
+def _decoded(text: Column) -> Column:
+    """Without percent escapes; a text with broken escapes stays as it is."""
+    plus = F.replace(text, F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(plus), text)
+
+
 def robots_rules(robots: DataFrame, host: str = "host", body: str = "body") -> DataFrame:
     """Rules of each robots text: (host, group_no, agents, rule_no, allow, path).
 
+    A group's crawl settings are rows without a path: they restrict nothing, but a group that
+    holds only such lines still is the group of its agents.  Paths are percent-decoded.
     Consecutive agent lines open a group; rules belong to the open group until
     the next agent line; a blank line right after agents discards them.
     """
@@ -47,11 +55,11 @@ def robots_rules(robots: DataFrame, host: str = "host", body: str = "body") -> D
     )
     return (
         grouped.withColumns({"alive": alive, "agents": agents})
-        .filter((F.col("kind") == "rule") & F.col("alive") & (F.col("group_no") > 0))
+        .filter(F.col("kind").isin("rule", "other") & F.col("alive") & (F.col("group_no") > 0))
         .select(
             "host", "group_no", "agents", F.col("line_no").alias("rule_no"),
             ((F.col("key") == "allow") | (F.col("value") == "")).alias("allow"),
-            F.col("value").alias("path"),
+            F.when(F.col("kind") == "rule", _decoded(F.col("value"))).alias("path"),
         )
     )
 
@@ -99,7 +107,7 @@ def allowed_urls(
     per_host = host_rules(robots_rules(robots), user_agent)
     keyed = urls.withColumn("host", extract_domain(url))
     joined = keyed.join(per_host, "host", "left")
-    path = _path(F.col(url))
+    path = _decoded(_path(F.col(url)))
     hit = F.get(
         F.filter("rules", lambda r: (r["path"] == "*") | path.startswith(r["path"])), F.lit(0)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from leadframe import schema as S
-from leadframe.functions.text import blank
+from leadframe.functions.text import blank, strip_space
 from leadframe.functions.urls import canonical_url, extract_domain, validate_url
 
 _URL_FIELDS = ["website", "source_url"]
@@ -62,7 +62,7 @@ def with_reject_reasons(df: DataFrame, ref_year: int) -> DataFrame:
 def valid_rows(df: DataFrame, ref_year: int) -> DataFrame:
     """Rows that meet every constraint, with name and URLs in stored form."""
     kept = with_reject_reasons(df, ref_year).filter(F.size("reject_reasons") == 0)
-    stored = {"name": F.trim("name")} if "name" in df.columns else {}
+    stored = {"name": strip_space("name")} if "name" in df.columns else {}
     for c in _URL_FIELDS:
         if c in df.columns:
             stored[c] = canonical_url(c)
@@ -126,6 +126,6 @@ def cap_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_pos", pos).filter(F.col("_pos") <= n).drop("_pos")
 
 
-def cap_per_site(df: DataFrame, n: int = 100, url: str = "url", order: str = "seq") -> DataFrame:
+def cap_per_site(df: DataFrame, n: int, url: str = "url", order: str = "seq") -> DataFrame:
     """At most ``n`` pages of each host, in order."""
     return cap_per_key(df.withColumn("_host", extract_domain(url)), "_host", order, n).drop("_host")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from leadframe.operators import dedup as D
 from leadframe.operators import enrich as E
@@ -150,10 +151,11 @@ def s_date_spine(spark, d):
 
 
 def s_take_while(spark, d):
-    """Orders of each customer as pages; a page is empty when its order is not filled."""
+    """Orders of each customer as pages by number; one not filled is empty, cheap ones are missing."""
     orders = I.table(spark, d, "orders")
-    pages = orders.select(
-        F.col("o_custkey").alias("category"), F.col("o_orderkey").alias("page"),
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pages = orders.withColumn("page", number).filter("o_totalprice >= 20000").select(
+        F.col("o_custkey").alias("category"), "page",
         F.when(F.col("o_orderstatus") != "F", F.lit(1)).alias("rows"),
     )
     return N.take_while_filled(pages, "category", "page", "rows").select("category", "page")
@@ -370,16 +372,15 @@ ORACLES = {
     "s_launch": f"""SELECT {_N} AS name, CAST(NULL AS VARCHAR) AS domain, CAST(NULL AS VARCHAR) AS website,
         'Tool for ' || lower(c_mktsegment) AS description, 'product_hunt' AS source,
         'https://www.producthunt.com/posts/' || {_K} AS source_url, CAST({_K} * 3 AS VARCHAR) AS upvotes,
-        {_N} || ' GmbH' AS product_name, 'startup' AS company_size FROM customer
-        WHERE {_K} % 25 < 20""",
+        {_N} || ' GmbH' AS product_name, 'startup' AS company_size FROM customer""",
     "s_launch_top": f"""SELECT {_N} AS name, CAST(NULL AS VARCHAR) AS domain, CAST(NULL AS VARCHAR) AS website,
         'Tool for ' || lower(c_mktsegment) AS description, 'product_hunt' AS source,
         'https://www.producthunt.com/posts/' || {_K} AS source_url FROM customer
-        WHERE {_K} % 25 < 20 ORDER BY {_K} LIMIT 50""",
+        ORDER BY {_K} LIMIT 50""",
     "s_news": f"""SELECT {_N} || '  ' || lower(c_mktsegment) AS name, 'H' || {_K} || '.example.com' AS domain,
         'https://h' || {_K} || '.example.com/' AS website, '' AS description, 'job_boards' AS source,
         'https://news.ycombinator.com/item?id=' || {_K} AS source_url, true AS hiring
-        FROM customer WHERE {_K} % 30 < 20 AND {_K} % 7 <> 0""",
+        FROM customer WHERE {_K} % 7 <> 0""",
     "s_api_json": """SELECT replace(s_name, '#', '') AS name,
         CASE WHEN s_suppkey % 3 <> 0 THEN 's' || s_suppkey || '.example.com' END AS domain,
         CASE WHEN s_suppkey % 5 <> 0 THEN 'https://s' || s_suppkey || '.example.com/' END AS website,
@@ -390,15 +391,17 @@ ORACLES = {
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "s_product_details": f"""SELECT {_N} AS name, 'https://www.p' || {_K} || '.example.com/x' AS website,
         'P' || {_K} || '.example.com' AS domain, 'product-hunt,new-launch,' || lower(c_mktsegment) AS tags
-        FROM customer WHERE {_K} % 25 < 20""",
+        FROM customer""",
     "s_makers": f"""SELECT {_K} AS k, CASE WHEN {_K} % 2 = 0 THEN 'Ann ' || {_K} ELSE '' END AS makers,
         CAST(NULL AS VARCHAR) AS website FROM customer""",
     "s_date_spine": """SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-30') AS day_offset,
         CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events
         WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-21' AND DATE '2024-01-30'""",
-    "s_take_while": """SELECT o_custkey AS category, o_orderkey AS page FROM orders
-        QUALIFY count(*) FILTER (WHERE o_orderstatus = 'F') OVER
-          (PARTITION BY o_custkey ORDER BY o_orderkey) = 0""",
+    "s_take_while": """WITH numbered AS (SELECT o_custkey AS category, o_orderstatus, o_totalprice,
+          CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS page FROM orders)
+        SELECT category, page FROM numbered
+        QUALIFY count(*) FILTER (WHERE o_orderstatus = 'F' OR o_totalprice < 20000) OVER
+          (PARTITION BY category ORDER BY page) = 0""",
     "e_size_bands": f"""WITH b AS (SELECT {_K} AS k, {_K} % 12 AS i FROM customer) SELECT k,
         CASE i WHEN 0 THEN 'startup' WHEN 1 THEN 'small' WHEN 2 THEN 'medium' WHEN 3 THEN 'large'
           WHEN 4 THEN 'enterprise' ELSE 'unknown' END AS size_a,

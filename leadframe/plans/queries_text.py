@@ -270,7 +270,8 @@ ORACLES = {
         array_to_string(a[(CAST(ceil(len(a) / 50.0) AS BIGINT) - 1) * 50 + 1:], ' ') AS last_chunk FROM w""",
     "x_safe_get": """SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k,
         'none' AS deeper, '0' AS missing FROM events""",
-    "x_format": f"""SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS iso,
+    "x_format": f"""SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') ||
+        CASE WHEN microsecond(o_orderdate) % 1000000 = 0 THEN '' ELSE strftime(o_orderdate, '.%f') END AS iso,
         strftime(o_orderdate, '%Y/%m/%d') AS day_path, strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp,
         CAST(round(CAST(o_totalprice AS DECIMAL(18,6)), 1) AS VARCHAR) AS one_decimal,
         {Q.round2('o_totalprice')} AS two FROM orders""",

@@ -216,7 +216,7 @@ TECHNOLOGIES = """concat_ws(', ', nullif(framework, ''), nullif(db, ''), nullif(
 def flat_row() -> str:
     e = lambda x: f"CASE WHEN has_enr THEN {x} END"
     return f"""name AS company_name, domain, website, description, source,
-  CAST(NULL AS VARCHAR) AS source_url, '2024-01-31T12:00:00.000000' AS scraped_at,
+  CAST(NULL AS VARCHAR) AS source_url, '2024-01-31T12:00:00' AS scraped_at,
   {e('employees')} AS employee_count, {e('size')} AS company_size, {e('founded')} AS founded_year,
   {e('industry')} AS industry,
   CASE WHEN has_geo THEN country END AS country, CASE WHEN has_geo THEN city END AS city,

@@ -48,7 +48,7 @@ def write_leads(
         for sheet, rows in workbook_sets(df).items():
             if sheet == "high_priority" and rows.isEmpty():
                 continue
-            rows.write.mode(mode).option("header", True).csv(f"{path}/{sheet}")
+            rows.write.mode(mode).option("header", True).option("escape", '"').csv(f"{path}/{sheet}")
         return path
     if fmt == "json":
         nested_companies(df).write.mode(mode).json(f"{path}.json")
@@ -64,6 +64,7 @@ def write_leads(
     return f"{path}.{fmt}"
 
 
-def write_run_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
-    """Run records of the sources as a table."""
-    metrics.withColumn("written_at", F.current_timestamp()).write.mode(mode).parquet(path)
+def write_run_metrics(metrics: DataFrame, path: str, run_time: str, mode: str = "append") -> None:
+    """Run records of the sources as a table, with the time of the run."""
+    stamp = F.lit(run_time).cast("timestamp")
+    metrics.withColumn("written_at", stamp).write.mode(mode).parquet(path)

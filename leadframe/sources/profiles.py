@@ -7,7 +7,7 @@ operations; the functions below map the raw fields to company records.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -233,7 +233,6 @@ LAUNCH = Profile(
         Field("link", (Selector("a", attr="href"),), attr="href"),
         Field("raw_votes", (Selector("button", cls_has="vote"),)),
     ),
-    max_cards=20,
 )
 
 
@@ -242,6 +241,10 @@ def _position(page_order: str) -> Column:
     return F.shiftleft(F.col(page_order).cast("bigint"), 24) + F.col("card_pos")
 
 
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
 def _clean_or_null(raw: str) -> Column:
     return F.when(F.col(raw).isNotNull(), clean_text(raw))
 
@@ -257,7 +260,7 @@ def _accept(df: DataFrame, name: Column, *urls: Column) -> DataFrame:
 def read_directory_a(
     pages: DataFrame,
     page_order: str = "page_id",
-    max_companies: int | None = 100,
+    max_companies: int | None = None,
     root: str = DIRECTORY_ROOT,
     substring_bands: bool = False,
 ) -> DataFrame:
@@ -339,13 +342,14 @@ def read_launches(
     launch_date: str | None = None,
     max_products: int | None = None,
     root: str = LAUNCH_ROOT,
+    max_cards: int | None = None,
 ) -> DataFrame:
-    """Launch cards as company records; at most 20 cards of each page.
+    """Launch cards as company records; ``max_cards`` keeps the first cards of each page.
 
     ``max_products`` keeps the first rows over all pages in page order: a
     distributed top-n, not a global numbering.
     """
-    raw = read_cards(pages, LAUNCH).withColumn("product_name", clean_text("raw_name"))
+    raw = read_cards(pages, replace(LAUNCH, max_cards=max_cards)).withColumn("product_name", clean_text("raw_name"))
     link = F.col("link")
     day = F.lit(None).cast("string") if launch_date is None else iso_timestamp(launch_date)
     raw = raw.filter(F.col("product_name") != "").select(
@@ -389,15 +393,14 @@ NEWS = Profile(
     fields=(
         Field("title_line", (TITLE_LINE,)),
     ),
-    max_cards=20,
 )
 
 
 def read_news_board(
     pages: DataFrame, page_order: str = "page_id", root: str = NEWS_ROOT,
-    split_titles: bool = False,
+    split_titles: bool = False, max_rows: int | None = None,
 ) -> DataFrame:
-    """News-board rows as company records; the first 20 rows of each page.
+    """News-board rows as company records; ``max_rows`` keeps the first rows of each page.
 
     ``split_titles`` reads name and description from 'Show HN: Name - Text'.
     """
@@ -405,7 +408,7 @@ def read_news_board(
     keep = [c for c in pages.columns if c != "html"]
     nodes = F.col("nodes")
     rows = F.transform(
-        F.slice(where(nodes, NEWS_ROW.test), 1, 20),
+        _first(where(nodes, NEWS_ROW.test), max_rows),
         lambda r: F.struct(
             r["pos"].alias("card_pos"), r["attrs"]["id"].alias("row_id"),
             subtree(nodes, r).alias("below"),
@@ -518,14 +521,20 @@ def _candidates(nodes: Column, elements: Column) -> Column:
     return F.call_function("filter", F.transform(linked, candidate), F.expr(f"c -> {sizes}"))
 
 
-def generic_candidates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Listing candidates of each page: headings, else items, else table rows."""
+def generic_candidates(
+    pages: DataFrame, url: str = "url", html: str = "html",
+    max_items: int | None = None, max_rows: int | None = None,
+) -> DataFrame:
+    """Listing candidates of each page: headings, else items, else table rows.
+
+    ``max_items`` and ``max_rows`` look at the first items and rows of a page only.
+    """
     keep = [c for c in pages.columns if c != html]
     nodes = F.col("nodes")
     headings = F.concat(*[_tagged(1, where(nodes, Selector(t).test)) for t in HEADING_TAGS])
     others = F.concat(
-        _tagged(2, F.slice(where(nodes, _ITEM_TEST), 1, 20)),
-        _tagged(3, F.slice(where(nodes, "n.tag = 'tr'"), 1, 50)),
+        _tagged(2, _first(where(nodes, _ITEM_TEST), max_items)),
+        _tagged(3, _first(where(nodes, "n.tag = 'tr'"), max_rows)),
     )
     first = with_nodes(pages, GENERIC_TAGS, html).withColumn("s1", _candidates(nodes, headings))
     # items and rows are only looked at where no heading qualified
@@ -541,13 +550,18 @@ def generic_candidates(pages: DataFrame, url: str = "url", html: str = "html") -
     )
 
 
-def read_generic(pages: DataFrame, page_order: str = "page_id", url: str = "url") -> DataFrame:
+def read_generic(
+    pages: DataFrame, page_order: str = "page_id", url: str = "url",
+    max_items: int | None = None, max_rows: int | None = None,
+) -> DataFrame:
     """Generic listing pages as company records; per page the first of a name.
 
     The winner per (page, name) is taken with an aggregation that combines on
     the map side, so a page that repeats one name costs nothing extra.
     """
-    found = generic_candidates(pages.select(page_order, url, "html"), url)
+    found = generic_candidates(
+        pages.select(page_order, url, "html"), url, max_items=max_items, max_rows=max_rows
+    )
     ok = _accept(found, F.col("name"), F.col("link"))
     first = ok.groupBy(page_order, "name").agg(
         F.min_by(F.struct("ord", "link", "description", url), "ord").alias("f")

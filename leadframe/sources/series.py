@@ -28,18 +28,17 @@ def day_pages(
 def take_while_filled(
     listing: DataFrame, by: str, page: str, rows: str | Column, max_pages: int | None = None
 ) -> DataFrame:
-    """Pages of each series before its first failed (null) or empty page.
+    """Pages of each series before its first failed (null), empty or missing page.
 
-    Only the smallest stopping page per series is aggregated (one partial row
-    per task and series) and joined back, so a long series is never gathered in
-    one task.  Pages count from 1; a gap in the numbers is a failed page.
+    Pages count from 1.  A page stops the series if it follows a filled one, or is the
+    first, and is not filled itself: an anti join on series and page finds all of them, and
+    only the smallest per series is aggregated (one partial row per task and series) and joined
+    back, so a long series is never gathered in one task.
     """
     count = F.col(rows) if isinstance(rows, str) else rows
     limited = listing if max_pages is None else listing.filter(F.col(page) <= max_pages)
-    filled = F.coalesce(count, F.lit(0)) > 0
-    stops = limited.groupBy(by).agg(F.min(F.when(~filled, F.col(page))).alias("_stop"))
-    return (
-        limited.join(stops, by)
-        .filter(F.col("_stop").isNull() | (F.col(page) < F.col("_stop")))
-        .drop("_stop")
-    )
+    filled = limited.filter(F.coalesce(count, F.lit(0)) > 0).select(by, page)
+    first = limited.select(by, F.lit(1).cast("long").alias(page)).distinct()
+    due = first.unionByName(filled.select(by, (F.col(page) + 1).cast("long").alias(page)))
+    stops = due.join(filled, [by, page], "left_anti").groupBy(by).agg(F.min(page).alias("_stop"))
+    return limited.join(stops, by).filter(F.col(page) < F.col("_stop")).drop("_stop")
