@@ -108,16 +108,18 @@ def with_source_config(df: DataFrame, source_config: DataFrame) -> DataFrame:
 def first_per_key(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
     """First-seen row per key; rows without a key all stay.
 
-    Only key and order are read and aggregated to find the winners (with map-side
-    combine, so a hot key costs one row per task); the wide rows are read once
-    and meet the winners in a join on the unique order column.
+    Only the key's digest and the order are aggregated to find the winners (with map-side
+    combine, so a hot key costs one row per task and a long key 32 bytes); the wide rows are
+    read once and meet the winners in a join on the unique order column.
     """
+    digest = F.unhex(F.sha2(F.col(key).cast("string"), 256))
     winners = (
-        df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))
+        df.select(digest.alias("_digest"), order).filter("_digest IS NOT NULL")
+        .groupBy("_digest").agg(F.min(order).alias(order))
         .select(order, F.lit(True).alias("_first"))
     )
-    found = df.join(winners, order, "left")
-    return found.filter(F.col(key).isNull() | F.col("_first")).drop("_first")
+    found = df.withColumn("_free", F.col(key).isNull()).join(winners, order, "left")
+    return found.filter(F.col("_free") | F.col("_first")).drop("_free", "_first")
 
 
 def cap_per_key(df: DataFrame, key: str, order: str, n: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from leadframe.operators.rules import RuleSet, is_high_value_target
 from leadframe.operators.union import union_sources
 from leadframe.plans import inputs as I
 from leadframe.plans import sql as Q
-from leadframe.sinks import workbook_sets
+from leadframe.session import work_dir
+from leadframe.sinks import workbook_sets, write_leads, write_run_metrics
 
 # --- scoring ----------------------------------------------------------------------
 
@@ -258,6 +261,38 @@ def k_workbook_sets(spark, d):
     return main.unionByName(high).unionByName(summary)
 
 
+def _exported(spark, d, fmt):
+    """All scored companies written in one format, and the path."""
+    path = write_leads(_scored(spark, d), fmt, f"{work_dir(spark)}/{uuid.uuid4().hex}", "leads")
+    return path, P.flatten_companies(_scored(spark, d)).schema
+
+
+def k_csv(spark, d):
+    """The CSV export, read back."""
+    path, schema = _exported(spark, d, "csv")
+    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+def k_json(spark, d):
+    """The nested export, read back and flattened."""
+    path, _ = _exported(spark, d, "json")
+    schema = P.nested_companies(_scored(spark, d)).schema
+    return P.flatten_companies(spark.read.schema(schema).json(path))
+
+
+def k_parquet(spark, d):
+    """The Parquet export, read back."""
+    return spark.read.parquet(_exported(spark, d, "parquet")[0])
+
+
+def k_run_metrics(spark, d):
+    """Run records of the sources with the time of the run, written and read back."""
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    write_run_metrics(a_source_runs(spark, d), path, "2024-01-31 12:00:00")
+    at = F.date_format("written_at", "yyyy-MM-dd HH:mm:ss")
+    return spark.read.parquet(path).withColumn("written_at", at)
+
+
 # --- enrichment ----------------------------------------------------------------------
 
 
@@ -366,7 +401,8 @@ QUERIES |= {f.__name__: f for f in (
     a_summary, a_priority, a_source_runs, a_run_records, a_technologies, a_stage_counts,
     n_hiring_rollup, p_flatten, p_nested, p_technologies, p_valid, p_reject, p_country, p_quality,
     p_min_score, p_truth, p_failed_source, p_source_config, p_robots, p_robots_agent,
-    o_rank, o_top5, w_cap, w_site_cap, u_union, k_workbook_sets,
+    o_rank, o_top5, w_cap, w_site_cap, u_union, k_workbook_sets, k_csv, k_json, k_parquet,
+    k_run_metrics,
     n_tech_detect, n_tech_headers, n_tech_category, n_tech_attach, n_size, n_region, n_ip,
     n_funding, n_hiring, n_chain,
 )}
@@ -493,6 +529,12 @@ ORACLES |= {
         QUALIFY row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) <= 2""",
     "u_union": """SELECT doc_id AS seq, lang AS name, source, CAST(NULL AS VARCHAR) AS url FROM documents
         UNION ALL SELECT page_id + 72057594037927936, 'page', NULL, url FROM pages""",
+    **{f"k_{kind}": f"{_SCORED} SELECT {Q.flat_row()} FROM scored" for kind in ("csv", "json", "parquet")},
+    "k_run_metrics": f"""SELECT source, {_NUMBER} % 3 <> 0 AS success, count(*) AS total_scraped,
+        count(*) FILTER (WHERE lang = 'en') AS total_enriched, 0::BIGINT AS total_scored,
+        {_NUMBER} * 0.5::DOUBLE AS execution_time,
+        CASE WHEN {_NUMBER} % 3 = 0 THEN 'page could not be read' ELSE '' END AS errors, '' AS warnings,
+        '2024-01-31 12:00:00' AS written_at FROM documents GROUP BY source""",
     "k_workbook_sets": f"""{_SCORED}, summary AS ({_SUMMARY_ROWS})
         SELECT 'companies' AS sheet, name AS item, total_score AS value FROM scored
         UNION ALL SELECT 'high_priority', name, total_score FROM scored WHERE priority = 'high'

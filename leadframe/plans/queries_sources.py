@@ -255,9 +255,11 @@ def d_counts(spark, d):
     """Rows before and after domain matching."""
     p = I.page_companies(spark, d)
     kept = D.first_per_domain(p)
-    before = p.agg(F.count(F.lit(1)).alias("total"))
-    after = kept.agg(F.count(F.lit(1)).alias("kept"))
-    return before.crossJoin(after).withColumn("removed", F.col("total") - F.col("kept"))
+    marks = p.select(F.lit(1).alias("t"), F.lit(0).alias("k")).unionByName(
+        kept.select(F.lit(0).alias("t"), F.lit(1).alias("k"))
+    )
+    counts = marks.agg(F.sum("t").alias("total"), F.sum("k").alias("kept"))
+    return counts.withColumn("removed", F.col("total") - F.col("kept"))
 
 
 # --- whole runs ---------------------------------------------------------------------------

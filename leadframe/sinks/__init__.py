@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadframe.operators.aggregate import summary
 from leadframe.operators.flatten import by_priority, flatten_companies, nested_companies
+from leadframe.session import cut_lineage, discard
 
 FORMATS = ("csv", "json", "parquet", "excel")
 
@@ -36,14 +37,22 @@ def write_leads(
 
     Files are written in parallel, one per partition.  'excel' writes the three
     workbook sheets as data sets under one path; the high-priority one only if
-    it has rows.
+    it has rows.  The companies are computed once, into an intermediate table that
+    all files and the test for rows are read from.
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format: {fmt}")
-    if df.isEmpty():
-        return None
-    path = target_path(folder, name, stamp)
+    written = cut_lineage(df)
+    try:
+        return None if written.isEmpty() else _write(
+            written, fmt, target_path(folder, name, stamp), partition_by, mode
+        )
+    finally:
+        discard(written)
+
+
+def _write(df: DataFrame, fmt: str, path: str, partition_by: str | None, mode: str) -> str:
     if fmt == "excel":
         for sheet, rows in workbook_sets(df).items():
             if sheet == "high_priority" and rows.isEmpty():
