@@ -50,7 +50,7 @@ def test_equals_the_sequential_loop(spark, seed, head):
     keys = [None, None] + [f"h{i}.com" for i in range(8)]
     rows = random_rows(rng, 60 if head < 9 else 200, words, keys)
     kept, _ = expected(spark, rows, 0.85)
-    got = D.kept_positions(companies(spark, rows), 0.85, head, 0).collect()
+    got = D.kept_positions(companies(spark, rows), 0.85, head).collect()
     assert sorted(r["seq"] for r in got) == kept
 
 
@@ -63,7 +63,7 @@ def test_hot_key_and_hot_name(spark):
     rng.shuffle(rows)
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
     kept, reps = expected(spark, rows, 0.85)
-    got = D.kept_positions(companies(spark, rows), 0.85, 8, 0).collect()
+    got = D.kept_positions(companies(spark, rows), 0.85, 8).collect()
     assert sorted(r["seq"] for r in got) == kept
 
 
@@ -128,7 +128,7 @@ def test_matching_names_share_a_key(t):
 def test_ranked_tokens_do_not_change_the_result(spark, monkeypatch):
     from leadframe.plans.inputs import page_companies
 
-    monkeypatch.setattr(D, "_RANK_FROM", 0)
+    monkeypatch.setattr(D, "token_ranks", lambda names, bounds: {})
     pages = page_companies(spark, "/root/testdata/sf0.001")
     none = F.lit(None).cast("string")
     assert D.kept_positions(pages.withColumns({"domain": none, "website": none})).count() == 37
