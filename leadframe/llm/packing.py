@@ -9,7 +9,7 @@ each piece finds its window by its rank among the pieces of its length.  The res
 packing that a sequential pass over all pieces would give.
 
 Defined cases: a null or empty text has the end id only; repeated rows are packed one by one;
-pieces of one length rank by a hash of id and place, then by id, start and content, so the
+pieces of one length rank by a hash of id, place and content, then by these, so the
 result does not depend on partitions; an empty table gives an empty result; further columns
 do not matter.
 """
@@ -219,7 +219,7 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[Step]:
 
 def _ranked(pieces: DataFrame) -> DataFrame:
     """The rank of each piece among those of its length, without sorting a length whole."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
