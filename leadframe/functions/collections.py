@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from leadframe.functions.text import as_col
+from leadframe.session import cut_lineage
 
 
 def json_get(c: Column | str, *keys: str, default=None) -> Column:
@@ -38,37 +39,33 @@ def chunk_rows(df: DataFrame, order: str, size: int, by: str | None = None) -> D
     ).drop("position")
 
 
-def global_position(
-    df: DataFrame, order: str, by: str | None = None, width: int = 1 << 16
-) -> DataFrame:
-    """Add a dense 0-based ``position`` in the order of a unique integer column.
+def _in_ranges(df: DataFrame, group: list[str], order: str) -> DataFrame:
+    """``df`` in ranges of rows along the group and the order: column ``_range``.
 
-    Rows are ranked inside buckets of ``width`` consecutive order values, so no
-    task ever sorts a whole group; the offsets come from the bucket counts, and
-    those of wide ranges from the counts of bucket groups.
+    Spark samples the bounds, so ranges hold about as many rows however sparse or uneven the
+    order values are.  Another run of the sampling could give other bounds: the rows are
+    written once with their range.
+    """
+    ranged = df.repartitionByRange(*[F.col(g) for g in group], F.col(order))
+    return cut_lineage(ranged.withColumn("_range", F.spark_partition_id()))
+
+
+def global_position(df: DataFrame, order: str, by: str | None = None) -> DataFrame:
+    """Add a dense 0-based ``position`` in the order of a unique column.
+
+    Rows are ranked inside ranges of rows, so no task ever sorts a whole large group;
+    the offsets come from the counts per range, one row for each group in a range.
     """
     group = [by] if by is not None else []
-    rows = df.withColumn("_bucket", F.floor(F.col(order) / width))
-    counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_super", F.floor(F.col("_bucket") / width))
-    supers = counts.groupBy(*group, "_super").agg(F.sum("_n").alias("_sn"))
-
-    def before(n: str, within: list[str], along: str) -> Column:
-        w = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-        earlier = w.orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum(n).over(earlier), F.lit(0))
-
-    supers = supers.withColumn("_sb", before("_sn", group, "_super"))
-    offsets = (
-        _null_safe_join(counts, supers, group + ["_super"])
-        .withColumn("_off", before("_n", group + ["_super"], "_bucket") + F.col("_sb"))
-        .select(*group, "_bucket", "_off")
-    )
-    local = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(order)) - 1
+    rows = _in_ranges(df, group, order)
+    counts = rows.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order)) - 1
     return (
-        _null_safe_join(rows, offsets, group + ["_bucket"])
-        .withColumn("position", local + F.col("_off"))
-        .drop("_bucket", "_off")
+        _null_safe_join(rows.withColumn("_local", local), offsets, group + ["_range"])
+        .withColumn("position", F.col("_local") + F.col("_off"))
+        .drop("_range", "_local", "_off")
     )
 
 
@@ -78,30 +75,28 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
     return left.join(renamed, on).drop(*[f"_r{k}" for k in keys])
 
 
-def next_value(
-    df: DataFrame, by: str, order: str, value: Column, alias: str, width: int = 1 << 16
-) -> DataFrame:
+def next_value(df: DataFrame, by: str, order: str, value: Column, alias: str) -> DataFrame:
     """Forward as-of lookup: the first non-null ``value`` after each row.
 
-    ``order`` is an integer, unique per group.  A row first looks inside its
-    bucket of ``width`` order values; the first value of the later buckets comes
-    from one summary row per bucket.  A hot group is so spread over many tasks.
+    ``order`` is unique per group.  A row first looks inside its range of rows; the first
+    value of the later ranges comes from one summary row per group and range.  A hot group is
+    so spread over many tasks.
     """
-    rows = df.withColumn("_v", value).withColumn("_bucket", F.floor(F.col(order) / width))
-    inside = Window.partitionBy(by, "_bucket").orderBy(order)
+    rows = _in_ranges(df.withColumn("_v", value), [by], order)
+    inside = Window.partitionBy(by, "_range").orderBy(order)
     after = inside.rowsBetween(1, Window.unboundedFollowing)
-    buckets = rows.groupBy(by, "_bucket").agg(
+    firsts = rows.groupBy(by, "_range").agg(
         F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))).alias("_first")
     )
-    later = Window.partitionBy(by).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    following = buckets.select(
-        by, "_bucket", F.first("_first", ignorenulls=True).over(later).alias("_later")
+    later = Window.partitionBy(by).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    following = firsts.select(
+        by, "_range", F.first("_first", ignorenulls=True).over(later).alias("_later")
     )
     near = rows.withColumn("_near", F.first("_v", ignorenulls=True).over(after))
     return (
-        _null_safe_join(near, following, [by, "_bucket"])
+        _null_safe_join(near, following, [by, "_range"])
         .withColumn(alias, F.coalesce("_near", "_later"))
-        .drop("_v", "_bucket", "_near", "_later")
+        .drop("_v", "_range", "_near", "_later")
     )
 
 

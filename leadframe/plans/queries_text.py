@@ -190,7 +190,7 @@ def j_next_p(spark, d):
     """Per user, the value of the next purchase after each event."""
     events = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
     paid = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return C.next_value(events, "user_id", "event_id", paid, "next_paid", width=1024).select(
+    return C.next_value(events, "user_id", "event_id", paid, "next_paid").select(
         "event_id", "next_paid"
     )
 

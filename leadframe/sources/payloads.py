@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from leadframe import schema as S
 from leadframe.functions.text import clean_company_name, clean_text
 from leadframe.functions.urls import canonical_url
+from leadframe.operators.union import page_position
 
 _S = T.StringType()
 PROPERTIES = T.StructType(
@@ -66,7 +67,7 @@ def read_organisations(
     items = items.filter((name != "") & url_ok)
     return S.companies(
         items,
-        seq=F.shiftleft(F.col(page_order).cast("bigint"), 24) + F.col("item_pos"),
+        seq=page_position(page_order, "item_pos"),
         name=name,
         domain=F.col("domain"),
         website=canonical_url("homepage_url"),

@@ -27,6 +27,7 @@ from leadframe.functions.text import (
     strip_show_prefix,
 )
 from leadframe.functions.urls import canonical_url, extract_domain, resolve_url
+from leadframe.operators.union import page_position
 from leadframe.sources.html import first_node, subtree, text_in, text_of, where, with_nodes
 
 # --- fixed values: site roots of the profiles ----------------------------------
@@ -236,11 +237,6 @@ LAUNCH = Profile(
 )
 
 
-def _position(page_order: str) -> Column:
-    """Order of a card over all pages: page first, then place on the page."""
-    return F.shiftleft(F.col(page_order).cast("bigint"), 24) + F.col("card_pos")
-
-
 def _first(items: Column, n: int | None) -> Column:
     return items if n is None else F.slice(items, 1, n)
 
@@ -280,7 +276,7 @@ def read_directory_a(
     )
     return S.companies(
         _accept(raw, F.col("name"), F.col("url")),
-        seq=_position(page_order),
+        seq=page_position(page_order, "card_pos"),
         name=F.col("name"),
         description=F.col("description"),
         source="angellist",
@@ -319,7 +315,7 @@ def read_directory_b(
     )
     return S.companies(
         _accept(raw, F.col("name"), F.col("url")),
-        seq=_position(page_order),
+        seq=page_position(page_order, "card_pos"),
         name=F.col("name"),
         description=F.col("description"),
         source="clutch",
@@ -366,7 +362,7 @@ def read_launches(
         raw = raw.orderBy(page_order, "card_pos").limit(max_products)
     return S.companies(
         raw,
-        seq=_position(page_order),
+        seq=page_position(page_order, "card_pos"),
         name=F.col("name"),
         description=F.col("description"),
         source="product_hunt",
@@ -449,7 +445,7 @@ def read_news_board(
     items = _accept(items, F.col("name"), F.col("url"))
     return S.companies(
         items,
-        seq=_position(page_order),
+        seq=page_position(page_order, "card_pos"),
         name=F.col("name"),
         domain=extract_domain("url"),
         website=canonical_url("url"),
@@ -572,7 +568,7 @@ def read_generic(
     )
     return S.companies(
         flat,
-        seq=_position(page_order),
+        seq=page_position(page_order, "card_pos"),
         name=F.col("name"),
         domain=extract_domain("link"),
         website=canonical_url("link"),

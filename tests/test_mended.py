@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leadframe import session
 from leadframe.functions import dates, text
-from leadframe.operators import enrich, robots, validate
+from leadframe.operators import enrich, robots, union, validate
 from leadframe.sources import html, profiles, series
 
 
@@ -101,3 +101,14 @@ def test_no_folder_is_left_after_a_run(spark):
     assert os.path.isdir(folder)
     session.release(spark)
     assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("bad", [1 << 56, -1])
+def test_positions_out_of_range_are_errors(spark, bad):
+    whole = spark.createDataFrame([((1 << 56) - 1,)], "seq long")
+    got = [r["seq"] for r in union.union_sources([whole, whole]).collect()]
+    assert sorted(got) == [(1 << 56) - 1, (1 << 57) - 1]
+    with pytest.raises(Exception, match="out of range"):
+        union.union_sources([spark.createDataFrame([(bad,)], "seq long"), whole]).collect()
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([(bad, 0)], "p long, k int").select(union.page_position("p", "k")).collect()

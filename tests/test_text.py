@@ -68,13 +68,33 @@ def test_positions_and_next_value(spark):
             want[(g, o)] = seen.get(k, 0)
             seen[k] = want[(g, o)] + 1
         if by:
-            got = {(r.g, r.o): r.position for r in C.global_position(df, "o", by, width=8).collect()}
+            got = {(r.g, r.o): r.position for r in C.global_position(df, "o", by).collect()}
             assert got == want
         else:
             unique = df.dropDuplicates(["o"])
-            got = sorted((r.o, r.position) for r in C.global_position(unique, "o", None, width=8).collect())
+            got = sorted((r.o, r.position) for r in C.global_position(unique, "o", None).collect())
             assert [p for _, p in got] == list(range(len(got)))
-    got = {(r.g, r.o): r.n for r in C.next_value(df, "g", "o", F.col("v"), "n", width=16).collect()}
+    got = {(r.g, r.o): r.n for r in C.next_value(df, "g", "o", F.col("v"), "n").collect()}
     for g, o in rows:
         later = [x for h, x in rows if h == g and x > o and x % 7 == 0]
         assert got[(g, o)] == (min(later) if later else None)
+
+
+def test_positions_of_sparse_and_hot_orders(spark):
+    """Order values all over the 64-bit range, and one group that holds most rows."""
+    df = spark.range(5000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 3).otherwise(-1).alias("g"), F.xxhash64("id").alias("o"))
+    rows = sorted((r.g, r.o) for r in df.collect())
+    got = {(r.g, r.o): r.position for r in C.global_position(df, "o", "g").collect()}
+    first = {g: i for i, (g, _) in reversed(list(enumerate(rows)))}
+    assert got == {x: i - first[x[0]] for i, x in enumerate(rows)}
+    chunks = sorted((r.o, r.batch_id) for r in C.chunk_rows(df, "o", 7).collect())
+    assert [b for _, b in chunks] == [i // 7 for i in range(5000)]
+    after = {(r.g, r.o): r.n for r in C.next_value(df, "g", "o", F.when(F.col("o") % 500 == 0, F.col("o")), "n").collect()}
+    want, seen = {}, {}
+    for g, o in reversed(rows):
+        want[g, o] = seen.get(g)
+        if o % 500 == 0:
+            seen[g] = o
+    assert after == want
+    assert C.global_position(df.limit(0), "o", "g").count() == 0
