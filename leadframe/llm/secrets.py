@@ -3,7 +3,7 @@
 The text itself is the first layer.  A layer with escapes (percent, ``\\u``, ``\\x``, HTML
 character references) yields its unescaped form; a run of base64 yields its bytes, unpacked
 if they are a zlib or gzip stream.  New layers go to the end of the list, a layer seen before
-is not visited again, and the list runs empty because only unseen layers enter and every
+from the same place of the source is not visited again, and the list runs empty because only unseen layers enter and every
 decoding is shorter than what it came from, unpacked streams aside, of which each text gets at
 most ``MAX_UNPACKED`` characters.
 
@@ -168,7 +168,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     found = list(base)
     known = set(base)
     todo = [_Layer(text, [0], [0], [len(text)], [1])] if text else []
-    seen = {text}
+    seen = {(text, 0, len(text))}
     room = MAX_UNPACKED
     for depth, layer in enumerate(todo):
         if depth:
@@ -181,8 +181,10 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
                     found.append(span)
         more = [x for x in [_unescaped(layer)] if x] if re.search(r"[%&\\]", layer.text) else []
         for new in [*more, *_base64_layers(layer, room)]:
-            if new.text not in seen:
-                seen.add(new.text)
+            # equal texts from two places are two layers
+            key = (new.text, new.source[0], new.stop[-1])
+            if key not in seen:
+                seen.add(key)
                 room -= max(0, len(new.text) - len(layer.text))
                 todo.append(new)
     return base, sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
