@@ -1,11 +1,15 @@
 """Secret scan: a worklist of decoded layers, each rescanned, spans mapped to the source.
 
 The text itself is the first layer.  A layer with escapes (percent, ``\\u``, ``\\x``, HTML
-character references) yields its unescaped form; a run of base64 yields its bytes, unpacked
-if they are a zlib or gzip stream.  New layers go to the end of the list, a layer seen before
-from the same place of the source is not visited again, and the list runs empty because only unseen layers enter and every
-decoding is shorter than what it came from, unpacked streams aside, of which each text gets at
-most ``MAX_UNPACKED`` characters.
+character references) yields its unescaped form; a run of base64, also one wrapped over lines,
+yields its bytes, unpacked if they are a zlib or gzip stream.  The newest layer is decoded first,
+a layer seen before from the same place of the source is not visited again, and the list runs
+empty because only unseen layers enter and every decoding is shorter than what it came from,
+unpacked streams aside, and these are finite.
+
+A packed stream is read twice, in chunks: once to see that all of it is text, once for its
+layers, which are cut only where nothing that is looked for, in it or in what it decodes to, can
+lie across.  So memory holds a chunk or the longest stretch without such a place, not the stream.
 
 Defined cases: a null text counts as empty (no spans); repeated rows get equal results; an
 empty table gives an empty result; further columns of the input do not matter.
@@ -15,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import html
 import re
@@ -29,10 +34,11 @@ from pyspark.sql import functions as F
 from leadframe.llm.common import small_batches, text_of
 
 KINDS = ("assign", "access", "hex")
-#: Characters that unpacking may add for one text: a bound on memory against packed bombs.
-MAX_UNPACKED = 16 << 20
-#: Shortest base64 run that is tried.
-MIN_BASE64 = 20
+#: Bytes of a packed stream that are unpacked at once.
+CHUNK = 1 << 20
+#: Shortest base64 run that is tried, without padding: that of ``token=12345678``, and that of a
+#: zlib stream of one repeated character.
+MIN_BASE64, MIN_PACKED = 19, 14
 
 _ASSIGN = re.compile(
     r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -44,7 +50,18 @@ _ESCAPE = re.compile(
     r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+"
     r"|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z]{2,8});"
 )
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
+_BASE64 = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{%d}|e[A-P][A-Za-z0-9+/_-]{%d})[A-Za-z0-9+/_-]++={0,2}"
+    % (MIN_BASE64, MIN_PACKED - 2)
+)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[^\r\n]+")
+#: Ends where no match, escape or base64 run goes on, whatever is decoded on either side: after a
+#: character that none of them has, an empty line, a line that ends in none of base64 or an
+#: escape, and a bare word between spaces.
+_CUT = re.compile(
+    r"[^A-Za-z0-9+/_.=\-\"':%\\&#;\x20\r\n]|\n\r?\n|[.\x20\"':]\r?\n|\x20[A-Za-z]+\x20(?=[A-Za-z0-9])"
+)
 
 Span = tuple[str, int, int]
 
@@ -127,39 +144,129 @@ def _unescaped(layer: _Layer) -> _Layer | None:
     return _Layer("".join(out), at, source, stop, plain)
 
 
-def _unpacked(data: bytes, room: int) -> bytes | None:
-    """Content of a zlib or gzip stream, at most ``room`` bytes of it; None if it is none."""
+def _readable(text: str) -> bool:
+    return text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable()
+
+
+def _pieces(data: bytes, wbits: int) -> Iterator[str]:
+    """Content of a packed stream in order; ``ValueError`` or ``zlib.error`` if it is no text."""
+    stream, decoder = zlib.decompressobj(wbits), codecs.getincrementaldecoder("utf-8")()
+    while not stream.eof:
+        part = stream.decompress(data, CHUNK)
+        data = stream.unconsumed_tail
+        if not part and not data:
+            break
+        piece = decoder.decode(part)
+        if not _readable(piece):
+            raise ValueError("not readable")
+        yield piece
+    decoder.decode(b"", True)
+
+
+def _last_cut(piece: str) -> int:
+    """The last place of a piece where a layer may be cut; 0 if there is none."""
+    for start in (max(0, len(piece) - 4096), 0):
+        cut = 0
+        for m in _CUT.finditer(piece, start):
+            cut = m.end()
+        if cut:
+            return cut
+    return 0
+
+
+def _sections(pieces: Iterator[str]) -> Iterator[str]:
+    """The pieces joined and cut again at places that nothing lies across."""
+    held: list[str] = []
+    for piece in pieces:
+        cut = _last_cut(piece)
+        if cut:
+            yield "".join([*held, piece[:cut]])
+            held = []
+        held.append(piece[cut:])
+    yield "".join(held)
+
+
+def _texts(data: bytes) -> Iterator[str]:
+    """What bytes say: the content of a zlib or gzip stream, else themselves if they are text."""
     wbits = 31 if data[:2] == b"\x1f\x8b" else 15 if data[:1] == b"\x78" else 0
-    if not wbits:
-        return None
-    try:
-        return zlib.decompressobj(wbits).decompress(data, max(1, room))
-    except zlib.error:
-        return None
-
-
-def _readable(data: bytes) -> str | None:
+    if wbits:
+        try:
+            for _ in _pieces(data, wbits):
+                pass
+        except (ValueError, zlib.error):
+            pass
+        else:
+            yield from _sections(_pieces(data, wbits))
+            return
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\n\r\t" for c in text) else None
+        return
+    if _readable(text):
+        yield text
+
 
+def _lines(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans of the lines of a wrapped run that may be one encoding.
 
-def _base64_layers(layer: _Layer, room: int) -> Iterator[_Layer]:
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    An encoder wraps at one width: all lines but the last, which is not longer, and the first,
+    which may stand behind something else.  Lines of words before and after do not belong to it.
+    """
+    lines = [m.span() for m in _LINE.finditer(text, start, end)]
+    width = [len(text[a:b].rstrip("=")) for a, b in lines]
+    spans = {(0, len(lines))}
+    first = 0
+    while first < len(lines):
+        after = first + 1
+        while after < len(lines) and width[after] == width[first]:
+            after += 1
+        starts = [first, first - 1] if first else [first]
+        ends = [after, after + 1] if after < len(lines) and width[after] < width[first] else [after]
+        spans |= {(i, j) for i in starts for j in ends if j - i > 1}
+        first = after
+    for i, j in sorted(spans):
+        if sum(width[i:j]) >= MIN_PACKED:
+            yield lines[i][0], lines[j - 1][1]
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of base64, on one line or wrapped."""
+    for m in _BASE64.finditer(text):
+        yield m.span()
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            yield from _lines(text, *m.span())
+
+
+def _base64_layers(layer: _Layer, seen: set) -> Iterator[_Layer]:
+    for start, end in _runs(layer.text):
+        run = layer.text[start:end].replace("\r", "").replace("\n", "")
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
         run = run[: len(run) - (len(run) % 4 == 1)]
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        packed = _unpacked(data, room)
-        text = _readable(data if packed is None else packed)
-        if text:
-            room -= len(text) if packed is not None else 0
-            first, last = layer.origin(m.start(), m.end())
-            yield _Layer(text, [0], [first], [last], [0])
+        first, last = layer.origin(start, end)
+        key = (hashlib.blake2b(data, digest_size=16).digest(), "bytes", first, last)
+        if key not in seen:
+            seen.add(key)
+            for text in _texts(data):
+                if text:
+                    yield _Layer(text, [0], [first], [last], [0])
+
+
+def _decoded(layer: _Layer, seen: set) -> Iterator[_Layer]:
+    """Layers that a layer decodes to, one at a time."""
+    if re.search(r"[%&\\]", layer.text) and (new := _unescaped(layer)):
+        yield new
+    yield from _base64_layers(layer, seen)
+
+
+def _key(layer: _Layer) -> tuple:
+    """Equal texts from two places are two layers."""
+    data = layer.text.encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(data, digest_size=16).digest(), "text", layer.source[0], layer.stop[-1]
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
@@ -167,11 +274,17 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     found = list(base)
     known = set(base)
-    todo = [_Layer(text, [0], [0], [len(text)], [1])] if text else []
-    seen = {(text, 0, len(text))}
-    room = MAX_UNPACKED
-    for depth, layer in enumerate(todo):
-        if depth:
+    if not text:
+        return base, found
+    source = _Layer(text, [0], [0], [len(text)], [1])
+    seen = {_key(source)}
+    todo = [_decoded(source, seen)]
+    while todo:
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+        elif (key := _key(layer)) not in seen:
+            seen.add(key)
             for kind, a, b in base_spans(layer.text):
                 first, last = layer.origin(a, b)
                 span = (kind, first, last)
@@ -179,14 +292,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
                 if span not in known and not taken:
                     known.add(span)
                     found.append(span)
-        more = [x for x in [_unescaped(layer)] if x] if re.search(r"[%&\\]", layer.text) else []
-        for new in [*more, *_base64_layers(layer, room)]:
-            # equal texts from two places are two layers
-            key = (new.text, new.source[0], new.stop[-1])
-            if key not in seen:
-                seen.add(key)
-                room -= max(0, len(new.text) - len(layer.text))
-                todo.append(new)
+            todo.append(_decoded(layer, seen))
     return base, sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
