@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from leadframe.llm.common import small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_WORDS = 4
+#: Words of the longest grouping: a phone of 15 digits in pairs, one digit before them apart or none.
+MAX_WORDS = 9
 TRAIN_DOCS, TRAIN_REGIONS, TRAIN_REGION_CHARS = 20_000, 600, 400
 EPOCHS, RATE, PULL = 12, 0.3, 0.01
 
@@ -86,6 +87,7 @@ def base_spans(text: str) -> list[Span]:
 
 # --- candidate segments and their features -----------------------------------------
 _MARK = re.compile(r"[0-9@]")
+_GROUP = re.compile(r"[+(]*[0-9]{1,5}\)?(?![^.,;:!?)])")
 _WORD_END = re.compile(r"[\x20\x09-\x0D]|\Z")
 
 
@@ -127,9 +129,9 @@ def features(span: str, words: int) -> list[str]:
     n = len(digits)
     bare = span.lstrip("+")
     marks = set(re.sub("[A-Za-z0-9]", "", bare))
-    out = ["bias", f"words={words}", "digits=" + (
-        "0" if not n else "1-7" if n < 8 else "8-9" if n < 10 else "10-12" if n < 13 else
-        "13-15" if n < 16 else "16-19" if n < 20 else "20+")]
+    out = ["bias", f"words={words}" if words < 5 else "words=5+", "digits=" + (
+        "0" if not n else "1-7" if n < 8 else "8-9" if n < 10 else "10-15" if n < 16 else
+        "16-19" if n < 20 else "20+")]
     if re.search("[A-Za-z]", span):
         out.append("letters")
     if span.count("@") == 1 and _DOMAIN.fullmatch(span.rpartition("@")[2]):
@@ -157,7 +159,7 @@ PRIOR: Weights = {
     "email": {"bias": -3.0, "at and domain": 6.0, "words=1": 1.0},
     "ip": {"bias": -3.0, "four parts": 6.0, "large parts": -3.0},
     "card": {"bias": -3.0, "luhn": 6.0, "not luhn": -3.0},
-    "phone": {"bias": -3.0, "grouped digits": 3.0, "digits=10-12": 2.0, "brackets": 1.0},
+    "phone": {"bias": -3.0, "grouped digits": 3.0, "digits=10-15": 2.0, "brackets": 1.0, "goes on": -1.5},
 }
 
 
@@ -168,14 +170,33 @@ class _Candidate:
         self.first, self.after, self.start, self.end, self.features = first, after, start, end, feats
 
 
+def _goes_on(text: str, words: list[tuple[int, int]], i: int, j: int, start: int, end: int) -> bool:
+    """Whether the word before or after is one more group of the candidate's digits.
+
+    Groups of one number stand one space apart; a group after another that starts with 0 or +
+    may as well start the next number.
+    """
+    def joint(left: int, right: int) -> bool:
+        return words[right][0] - words[left][1] == 1 and text[words[left][1]] == " " and text[words[right][0]] not in "0+"
+
+    before = i > 0 and start == words[i][0] and joint(i - 1, i) and _GROUP.fullmatch(text, *words[i - 1])
+    return bool(before) or (
+        j < len(words) and end == words[j - 1][1] and joint(j - 1, j) and _GROUP.match(text, *words[j]) is not None
+    )
+
+
+def _candidates_from(text: str, words: list[tuple[int, int]], i: int) -> Iterator[_Candidate]:
+    for j in range(i + 1, min(i + MAX_WORDS, len(words)) + 1):
+        start, end = _trimmed(text, words[i][0], words[j - 1][1])
+        if start < end and start < words[i][1] and end > words[j - 1][0]:
+            feats = features(text[start:end], j - i)
+            if _goes_on(text, words, i, j, start, end):
+                feats.append("goes on")
+            yield _Candidate(i, j, start, end, feats)
+
+
 def candidates(text: str, words: list[tuple[int, int]]) -> list[_Candidate]:
-    out = []
-    for i in range(len(words)):
-        for j in range(i + 1, min(i + MAX_WORDS, len(words)) + 1):
-            start, end = _trimmed(text, words[i][0], words[j - 1][1])
-            if start < end and start < words[i][1] and end > words[j - 1][0]:
-                out.append(_Candidate(i, j, start, end, features(text[start:end], j - i)))
-    return out
+    return [c for i in range(len(words)) for c in _candidates_from(text, words, i)]
 
 
 def _score(weights: Weights, kind: str, feats: list[str]) -> float:
@@ -188,13 +209,10 @@ def decode(text: str, words: list[tuple[int, int]], weights: Weights) -> list[Sp
     n = len(words)
     best: list[float] = [0.0] + [-math.inf] * n
     back: list[tuple | None] = [None] * (n + 1)
-    by_first: list[list[_Candidate]] = [[] for _ in range(n)]
-    for c in candidates(text, words):
-        by_first[c.first].append(c)
     for i in range(n):
         if best[i] > best[i + 1]:
             best[i + 1], back[i + 1] = best[i], (i, None, None)
-        for c in by_first[i]:
+        for c in _candidates_from(text, words, i):
             for kind in KINDS:
                 s = best[i] + _score(weights, kind, c.features)
                 if s > best[c.after]:

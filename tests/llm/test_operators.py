@@ -91,6 +91,25 @@ def test_pii_decoding_is_the_best_segmentation_and_splits_neighbours():
     assert pii.mask(text, pii.all_spans(text, pii.PRIOR)[1]) == "call <phone> <card> <ip> x"
 
 
+@pytest.mark.parametrize("number", [
+    "06 12 34 56 78", "0049 30 12 34 56 78", "00 33 6 12 34 56 78", "(06) 12 34 56 78", "12 34 56 78 90 12 34 5"])
+def test_pii_numbers_of_many_groups_are_found_whole(number):
+    text = f"call {number} now"
+    learned = pii.train(["+33 6 12 34 56 78", "+1 269 555 3296", "12 of 40"])
+    for weights in (pii.PRIOR, learned):
+        assert pii.all_spans(text, weights)[1] == [("phone", 5, 5 + len(number))]
+    assert pii.train(["+33 6 12 34 56 78"]) != pii.PRIOR
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "; "])
+def test_pii_numbers_of_many_groups_beside_each_other(gap):
+    text = gap.join(["06 12 34 56 78", "06 98 76 54 32"])
+    learned = pii.train(["+1 (269) 555-3296"] * 3 + ["+33 6 12 34 56 78"])
+    for weights in (pii.PRIOR, learned):
+        found = pii.all_spans(text, weights)[1]
+        assert [text[a:b] for _, a, b in found] == ["06 12 34 56 78", "06 98 76 54 32"]
+
+
 # --- 2 packing -------------------------------------------------------------------------
 
 
