@@ -44,6 +44,8 @@ _P, _LISTS = frozenset(["p"]), frozenset("ul ol dl table menu select".split())
 HOLDERS = frozenset("article main".split())
 #: Elements that never hold the main text.
 SIDE = frozenset("nav aside footer form button select option dialog menu head label fieldset figcaption".split())
+#: Of these, what belongs to the text that an article or main element holds.
+HELD = frozenset("fieldset figcaption".split())
 #: Names in class, id and role that mark the same.
 SIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
@@ -180,7 +182,7 @@ def items(page: str) -> list[Item]:
         else:
             # the page's header stands outside the text; a header in the text belongs to it
             names -= {"header"} if open_.inside else set()
-            side = name in SIDE or bool(names) or (name == "header" and not open_.inside)
+            side = (name in SIDE and not (open_.inside and name in HELD)) or bool(names) or (name == "header" and not open_.inside)
         add_tag("side" if side else name)
         if name == "br":
             add_text(" ")
@@ -256,14 +258,18 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: Weights) -> str:
     """Blocks of the best run, without those beside the text, joined by an empty line.
 
-    The run is widened to whole blocks, so a weak word at a block's border is not lost.
+    The run is widened to whole blocks, so a weak word at a block's border is not lost.  Only
+    what an article or main element holds is kept if most of the run's words stand in one.
     """
     seen = items(page)
     start, end = best_run([score(i, weights) for i in seen])
     if start == end:
         return ""
     first, last = seen[start].block, seen[end - 1].block
-    level = max(i.inside for i in seen[start:end] if i.words)
+    words = [0, 0, 0]
+    for i in seen[start:end]:
+        words[i.inside] += 0 if i.side else i.words
+    level = max(k for k in range(3) if 2 * sum(words[k:]) > sum(words))
     blocks: dict[int, list[str]] = {}
     for i in seen:
         if i.text is not None and first <= i.block <= last and not i.side and i.inside >= level:

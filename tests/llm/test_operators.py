@@ -210,6 +210,23 @@ def test_main_text_without_an_article_element():
     assert main_text.main_text(page, {}) == "Hi\n\nIt's the & text.\n\none\n\ntwo words\n\nThe end of this text."
 
 
+@pytest.mark.parametrize("holder", ["main", "div"])
+def test_main_text_beside_an_article_that_holds_little_of_it(holder):
+    page = (
+        f"<header>Site</header><{holder}><h1>Hi</h1><p>" + "first words of it " * 10 + "</p>"
+        "<article><p>a short card</p></article><p>" + "the last words " * 10 + f"</p></{holder}><footer>foot</footer>")
+    want = ["Hi", "first words of it " * 10, "a short card", "the last words " * 10]
+    assert main_text.main_text(page, {}) == "\n\n".join(" ".join(w.split()) for w in want)
+
+
+def test_main_text_keeps_captions_and_groups_of_the_article():
+    page = (
+        "<figure><figcaption>logo</figcaption></figure><article><p>" + "some words here " * 9 + "</p>"
+        "<figure><img src=x><figcaption>What it shows</figcaption></figure>"
+        "<fieldset><p>a group</p></fieldset><p>The end of it.</p></article>")
+    assert main_text.main_text(page, {}).split("\n\n")[1:] == ["What it shows", "a group", "The end of it."]
+
+
 # --- 4 fingerprints -------------------------------------------------------------------------
 
 
