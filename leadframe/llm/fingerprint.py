@@ -3,8 +3,9 @@
 A rolling value over the last seven bytes decides where a chunk ends: where it is the last
 residue modulo the block size.  Each chunk gives one of 64 characters from its own hash; the
 characters make the signature, once for the block size and once for twice that size.  The
-block size follows from the length alone, so a text and an edit of it stay comparable.  Two
-fingerprints compare by edit distance where their block sizes are equal or one is twice the
+block size follows from the length and is halved while the signature has less than half of its
+most characters, so that a text of few distinct windows has chunks as well.  Two fingerprints
+compare by edit distance where their block sizes are equal or one is twice the
 other.
 
 Defined cases: a null text counts as empty and has the fingerprint ``3::``; equal fingerprints
@@ -77,7 +78,11 @@ def fingerprint(text: str) -> str:
     block = MIN_BLOCK
     while block * LENGTH < len(data):
         block *= 2
-    return f"{block}:{_signature(rolled, sums, block, LENGTH)}:{_signature(rolled, sums, 2 * block, LENGTH // 2)}"
+    one = _signature(rolled, sums, block, LENGTH)
+    while block > MIN_BLOCK and len(one) < LENGTH // 2:
+        block //= 2
+        one = _signature(rolled, sums, block, LENGTH)
+    return f"{block}:{one}:{_signature(rolled, sums, 2 * block, LENGTH // 2)}"
 
 
 def _distance(a: str, b: str) -> int:

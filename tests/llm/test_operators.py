@@ -262,6 +262,15 @@ def test_edit_distance_is_exact():
         assert fingerprint._distance(a, b) == slow(a, b)
 
 
+def test_fingerprints_of_repetitive_texts():
+    rng = random.Random(6)
+    for _ in range(20):
+        text = "".join(rng.choices("etaoin shrdlu", k=500)) * 200
+        size, one, two = fingerprint.fingerprint(text).split(":")
+        assert len(one) >= fingerprint.LENGTH // 2 or int(size) == fingerprint.MIN_BLOCK
+        assert fingerprint.likeness(f"{size}:{one}:{two}", fingerprint.fingerprint(text[:-900] + "an edit" + text[-900:])) > 0.5
+
+
 # --- 5 URL filter ------------------------------------------------------------------------------
 
 
