@@ -479,6 +479,19 @@ def test_join_of_a_large_group_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept) == sorted({c for c, _ in want.values()})
 
 
+def test_one_per_class_with_null_and_repeated_ids(spark):
+    same = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
+    near = [t + " end" for t in same]
+    rows = [(None, same[0]), (None, near[0]),  # a class without ids
+            (3, same[1]), (None, near[1]), (4, near[1]),  # a null id beside others
+            (5, same[2]), (5, near[2]),  # one id, two texts of one class
+            (6, same[3]), (6, "of its own"), (7, ""), (None, ""), (None, None)]
+    kept = ngram_join.one_per_class(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [(r["doc_id"], (r["text"] or "")[:2]) for r in kept]
+    assert sorted(got, key=str) == sorted(
+        [(None, "a0"), (3, "b0"), (5, "c0"), (6, "d0"), (6, "of"), (7, ""), (None, ""), (None, "")], key=str)
+
+
 def test_components(spark):
     rng = random.Random(13)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(50)]
