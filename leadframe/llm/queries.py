@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadframe.llm import (
-    fingerprint, main_text, mixing, ngram_join, packing, pii, quality_model, quality_rules, secrets, url_filter,
+    divergence, fingerprint, main_text, mixing, ngram_join, packing, pii, quality_model, quality_rules, secrets, url_filter,
 )
 from leadframe.llm.common import documents, table
 
@@ -28,9 +28,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": lambda s, d: quality_rules.judged(documents(s, d)),
     "op9_ngram_join": lambda s, d: ngram_join.joined(documents(s, d)),
     "op10_quality_model": lambda s, d: quality_model.scored(documents(s, d)),
+    "op13_divergence": lambda s, d: divergence.audited(documents(s, d)),
 }
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.sql(),
     "op8_quality_rules": quality_rules.sql(),
+    "op13_divergence": divergence.sql(),
 }
