@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leadframe.llm import (
-    divergence, fingerprint, main_text, mixing, ngram_join, packing, pii, quality_model, quality_rules, secrets, url_filter,
-    variants,
+    divergence, fingerprint, licenses, main_text, mixing, ngram_join, packing, pii, quality_model, quality_rules, secrets,
+    url_filter, variants,
 )
 from leadframe.llm.common import documents, table
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": lambda s, d: quality_rules.judged(documents(s, d)),
     "op9_ngram_join": lambda s, d: ngram_join.joined(documents(s, d)),
     "op10_quality_model": lambda s, d: quality_model.scored(documents(s, d)),
+    "op11_licenses": lambda s, d: licenses.scanned(documents(s, d)),
     "op12_variants": lambda s, d: variants.grouped_variants(documents(s, d)),
     "op13_divergence": lambda s, d: divergence.audited(documents(s, d)),
 }
