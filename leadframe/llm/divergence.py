@@ -2,7 +2,7 @@
 
 Equal texts of a language become one row with its number of copies per source; each is cut into
 terms once, and its counts and document frequencies are added with these weights.  Partial sums
-leave a task per (language, source, term), so a hot text, source or term is one row a task.
+leave a task per language and term, so a hot text, source or term is few rows a task.
 
 A pair of sources is the sum of ``(p - q)^2 / q`` over the terms its language keeps.  Only terms
 that one of the two holds are visited; all others have the same two values and count as one
@@ -67,22 +67,35 @@ def collapsed(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "hash").agg(F.first("text").alias("text")).join(held, ["lang", "hash"])
 
 
-_SUMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()),
-                   ("n", pa.int64()), ("docs", pa.int64())])
+_HELD = pa.struct([("source", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+_SUMS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("held", pa.list_(_HELD))])
+
+
+def _by_term(lang: str, sources: dict[str, tuple[dict, dict]]) -> pa.RecordBatch:
+    """A row for each term of a language with the sums of all sources that hold it."""
+    counts, docs = zip(*sources.values())
+    terms = pa.array([t for c in counts for t in c], pa.binary()).dictionary_encode()
+    order = np.argsort(terms.indices.to_numpy(), kind="stable")
+    lengths = np.bincount(terms.indices.to_numpy(), minlength=len(terms.dictionary))
+    source = np.repeat(np.arange(len(counts)), [len(c) for c in counts])[order]
+    values = lambda dicts: pa.array([v for d in dicts for v in d.values()], pa.int64()).take(pa.array(order))
+    held = pa.StructArray.from_arrays(
+        [pa.array(list(sources), pa.string()).take(pa.array(source)), values(counts), values(docs)], fields=list(_HELD))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    k = len(terms.dictionary)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * k, pa.string()), terms.dictionary.cast(pa.string()), pa.ListArray.from_arrays(offsets, held)],
+        schema=_SUMS)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weighted counts and document frequencies of a task's texts, in bounded parts."""
-    found: dict[tuple[str, str], tuple[dict, dict]] = {}
+    found: dict[str, dict[str, tuple[dict, dict]]] = {}
 
     def handed_on() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (counts, docs) in found.items():
-            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
-            k = len(terms)
-            columns = [pa.array([lang]).take(pa.array(np.zeros(k, np.int64))),
-                       pa.array([source]).take(pa.array(np.zeros(k, np.int64))), terms,
-                       pa.array(list(counts.values()), pa.int64()), pa.array(list(docs.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SUMS)
+        for lang, sources in found.items():
+            if sources:
+                yield _by_term(lang, sources)
         found.clear()
 
     entries = 0
@@ -90,10 +103,10 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts, helds = (batch.column(c) for c in ("lang", "text", "held"))
         for k in range(batch.num_rows):
             inside = Counter(terms_of(texts[k].as_py()))
-            lang = langs[k].as_py()
+            sources = found.setdefault(langs[k].as_py(), {})
             for of in helds[k].as_py():
                 m = of["m"]
-                counts, docs = found.setdefault((lang, of["source"]), ({}, {}))
+                counts, docs = sources.setdefault(of["source"], ({}, {}))
                 entries -= len(counts)
                 for term, n in inside.items():
                     counts[term] = counts.get(term, 0) + n * m
@@ -101,16 +114,18 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entries += len(counts)
                 if entries >= HELD:
                     yield from handed_on()
-                    entries = 0
+                    entries, sources = 0, found.setdefault(langs[k].as_py(), {})
     yield from handed_on()
 
 
 def kept_terms(docs: DataFrame) -> DataFrame:
     """Kept terms of each language: (lang, term, total, held: [(source, n)])."""
-    sums = collapsed(docs).select("lang", "text", "held").mapInArrow(
-        _sums, "lang string, source string, term string, n long, docs long"
+    parts = collapsed(docs).select("lang", "text", "held").mapInArrow(
+        _sums, "lang string, term string, held array<struct<source string, n long, docs long>>"
     )
-    sums = sums.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # all sums of a term meet once: the groupings below need no further shuffle
+    rows = parts.repartition("lang", "term").select("lang", "term", F.inline("held"))
+    sums = rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     return sums.groupBy("lang", "term").agg(
         F.sum("n").alias("total"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held")
     ).where(F.col("docs") >= MIN_DOCS).drop("docs")
