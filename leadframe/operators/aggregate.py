@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from leadframe import schema as S
@@ -112,6 +112,33 @@ def stage_counts(**stages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+class StageCounts:
+    """Rows per stage, counted while something else reads or writes the rows.
+
+    Each watched stage is an observation in the plan of the action to come: any number of counts
+    costs no further pass.  The first action over a stage gives its count, so it must read
+    all rows, as a sink does.  An action that fails gives none.
+    """
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, stage: str, test: Column | None = None) -> DataFrame:
+        """The same rows; those that pass ``test`` count as ``stage``."""
+        if stage in self._seen:
+            raise ValueError(f"stage {stage} is watched already")
+        self._seen[stage] = Observation()
+        rows = F.count(F.lit(1)) if test is None else F.count_if(test)
+        return df.observe(self._seen[stage], rows.alias("rows"))
+
+    def counts(self) -> dict[str, int]:
+        """Stage and rows, in the order of watching; waits for the action."""
+        return {stage: o.get["rows"] for stage, o in self._seen.items()}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.counts().items()), "stage string, rows long")
+
+
 def distinct_technologies(df: DataFrame) -> DataFrame:
     """Technologies seen anywhere, with the number of companies."""
     from leadframe.operators.flatten import all_technologies

@@ -5,10 +5,12 @@ Each enricher is a function DataFrame -> DataFrame for ``DataFrame.transform``.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,6 +268,60 @@ def hiring_enricher(hiring: DataFrame | None = None, key: str = "domain") -> Enr
     return enrich
 
 
+ENRICH_ERRORS = "array<struct<enricher:string,error:string>>"
+
+
+def row_enricher(name: str, function: Callable[[dict], dict]) -> Enricher:
+    """Enricher of a user function that takes one lead and returns fields of its enrichment.
+
+    A lead is a dictionary of all columns, nested ones as dictionaries.  A row whose call raises, or
+    whose result does not have the enrichment's form, stays as it was and gets (name, error) in
+    ``enrich_errors``; the others go on, in this enricher and the next ones.  The function runs in
+    Arrow batches; its result is checked and merged in the JVM.
+    """
+
+    @F.pandas_udf("fields string, error string")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for leads in batches:
+            rows = []
+            for lead in leads:
+                try:
+                    rows.append((json.dumps(function(json.loads(lead))), None))
+                except Exception as e:  # whatever a user function raises concerns its row alone
+                    rows.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["fields", "error"], dtype=object)
+
+    def enrich(df: DataFrame) -> DataFrame:
+        if "enrich_errors" not in df.columns:
+            df = df.withColumn("enrich_errors", F.array().cast(ENRICH_ERRORS))
+        columns = [c for c in df.columns if c != "enrich_errors"]
+        kept = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        full = S.ensure_enrichment()
+        called = df.withColumn("_call", call(kept)).withColumn(
+            "_new", F.from_json("_call.fields", S.ENRICHMENT, {"mode": "PERMISSIVE"})
+        )
+        # a field that was given and came out null has the wrong form
+        given = F.from_json("_call.fields", "map<string,string>")
+        wrong = reduce(Column.__or__, [
+            F.coalesce(given[f].isNotNull() & F.col("_new")[f].isNull(), F.lit(False))
+            for f in S.ENRICHMENT.fieldNames()
+        ])
+        unknown = F.exists(F.map_keys(given), lambda k: ~k.isin(S.ENRICHMENT.fieldNames()))
+        bad = wrong | F.coalesce(unknown, F.lit(False)) | (F.col("_call.error").isNull() & given.isNull())
+        error = F.coalesce("_call.error", F.when(bad, F.concat(F.lit("no valid enrichment: "), F.col("_call.fields"))))
+        merged = full
+        for f in S.ENRICHMENT.fieldNames():
+            merged = merged.withField(f, F.coalesce(F.col("_new")[f], full[f]))
+        return called.withColumn("_error", error).withColumns({
+            "enrichment": F.when(F.col("_error").isNull(), merged).otherwise(F.col("enrichment")),
+            "enrich_errors": F.when(F.col("_error").isNull(), F.col("enrich_errors")).otherwise(F.concat(
+                "enrich_errors", F.array(F.struct(F.lit(name).alias("enricher"), F.col("_error").alias("error")))
+            )),
+        }).drop("_call", "_new", "_error")
+
+    return enrich
+
+
 def enrich_all(df: DataFrame, enrichers: list[Enricher]) -> DataFrame:
     """Apply enrichers in order."""
     return reduce(lambda d, f: d.transform(f), enrichers, df)

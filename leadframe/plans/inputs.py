@@ -118,6 +118,19 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broken_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of the organisations, some of them broken in one of four ways."""
+    k = F.col("page_id")
+    return organisation_payloads(spark, sf_dir).withColumn(
+        "payload",
+        F.when(k % 11 == 1, F.expr("substring(payload, 1, length(payload) - 5)"))
+        .when(k % 11 == 2, F.lit('{"data": {"entities": []}}'))
+        .when(k % 11 == 3, F.lit(" "))
+        .when(k % 11 == 4, F.lit('{"data": {"items": 7}}'))
+        .otherwise(F.col("payload")),
+    )
+
+
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with technology markers appended, so that signatures fire."""
     marks = [

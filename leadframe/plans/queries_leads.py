@@ -19,7 +19,7 @@ from leadframe.operators.rules import RuleSet, is_high_value_target
 from leadframe.operators.union import union_sources
 from leadframe.plans import inputs as I
 from leadframe.plans import sql as Q
-from leadframe.session import work_dir
+from leadframe.session import cut_lineage, work_dir
 from leadframe.sinks import workbook_sets, write_leads, write_run_metrics
 
 # --- scoring ----------------------------------------------------------------------
@@ -120,6 +120,16 @@ def a_stage_counts(spark, d):
     )
 
 
+def a_stage_counts_once(spark, d):
+    """The same counts and those of rows per sink, gathered while the leads are written."""
+    counts = A.StageCounts()
+    scored = counts.watch(_scored(spark, d), "read")
+    high = F.col("score.priority") == "high"
+    watched = counts.watch(scored, "high", high)
+    cut_lineage(counts.watch(watched.filter(high), "written"))
+    return counts.table(spark)
+
+
 def n_hiring_rollup(spark, d):
     return A.hiring_rollup(I.postings(spark, d), I.POSTING_REFERENCE)
 
@@ -191,14 +201,14 @@ def p_failed_source(spark, d):
     )
 
 
-def p_source_config(spark, d):
-    """Documents joined with the settings of their source."""
+def p_source_settings(spark, d):
+    """Every document with the settings of its source and whether it keeps to them."""
     docs = I.table(spark, d, "documents").select("doc_id", "source", "n_chars")
     config = docs.select("source").distinct().select(
         "source", (F.length("source") * 100).alias("max_chars")
     )
-    return V.with_source_config(docs, config).filter("n_chars <= max_chars").select(
-        "doc_id", "max_chars"
+    return V.with_source_config(docs, config).select(
+        "doc_id", "max_chars", (F.col("n_chars") <= F.col("max_chars")).alias("within")
     )
 
 
@@ -301,13 +311,12 @@ def n_tech_detect(spark, d):
     return df.select("page_id", F.array_join("technologies", ",").alias("technologies"))
 
 
-def n_tech_headers(spark, d):
-    """Signatures found in response headers only."""
-    pages = I.table(spark, d, "pages").select(
-        "page_id",
-        F.lit("").alias("html"),
+def n_tech_page_headers(spark, d):
+    """Signatures found in the text of a page or in its response headers."""
+    pages = I.marked_pages(spark, d).withColumn(
+        "headers",
         F.when(F.col("page_id") % 2 == 0, F.lit("X-Powered-By: PHP, Express"))
-        .otherwise(F.lit("Server: cloudflare")).alias("headers"),
+        .otherwise(F.lit("Server: cloudflare")),
     )
     df = E.detect_technologies(pages, headers="headers")
     return df.select("page_id", F.array_join("technologies", ",").alias("technologies"))
@@ -333,10 +342,9 @@ def _sites(spark, d):
     )
 
 
-def n_tech_attach(spark, d):
-    """Tech stacks of sites whose page is known; others keep their enrichment."""
-    known = I.marked_pages(spark, d).filter(F.col("page_id") % 5 != 4)
-    df = E.tech_enricher(known)(_sites(spark, d))
+def n_site_stack(spark, d):
+    """Tech stacks of sites by the pages of their address; sites without one keep their enrichment."""
+    df = E.tech_enricher(I.marked_pages(spark, d))(_sites(spark, d))
     e = F.col("enrichment")
     return df.select(
         "seq", e.isNotNull().alias("has_enrichment"), e["tech_stack"].isNotNull().alias("has_tech"),
@@ -345,6 +353,36 @@ def n_tech_attach(spark, d):
     )
 
 
+def _flaky_industry(lead: dict) -> dict:
+    """An enricher of a user that cannot take every row."""
+    number = lead["seq"]
+    if number % 7 == 3:
+        raise ValueError(f"no answer for {number}")
+    return {"industry": f"sector {number % 5}"}
+
+
+def _flaky_size(lead: dict) -> dict:
+    """Fails on rows without an enrichment, and on those whose result has no valid form."""
+    positions = lead["enrichment"]["hiring_intent"]["total_open_positions"]
+    return {"employee_count": "many" if positions > 40 else positions}
+
+
+def n_isolated(spark, d):
+    """A chain in which single rows of two enrichers fail: they stay as they were, with the error."""
+    chain = [
+        E.size_enricher, E.row_enricher("industry", _flaky_industry), E.region_enricher,
+        E.row_enricher("positions", _flaky_size),
+    ]
+    df = E.enrich_all(I.leads(spark, d), chain)
+    e, errors = F.col("enrichment"), F.col("enrich_errors")
+    return df.select(
+        "seq", e["industry"].alias("industry"), e["employee_count"].alias("employee_count"),
+        e["company_size"].alias("company_size"),
+        F.array_join(F.transform(errors, lambda x: x["enricher"]), ",").alias("failed"),
+        F.array_join(F.transform(errors, lambda x: F.element_at(F.split(x["error"], ":"), 1)), ",").alias("errors"),
+    )
+
+
 def n_size(spark, d):
     df = E.size_enricher(I.leads(spark, d))
     return df.select("seq", F.col("enrichment.company_size").alias("company_size"))
@@ -398,12 +436,12 @@ def n_chain(spark, d):
 QUERIES = {f"c_{p}": _score_part(f"{p}_score") for p in ("intent", "fit", "tech", "engagement")}
 QUERIES |= {f.__name__: f for f in (
     c_total_priority, c_custom_weights, c_ignore_case, c_intent_alt, r_rules, r_flags,
-    a_summary, a_priority, a_source_runs, a_run_records, a_technologies, a_stage_counts,
+    a_summary, a_priority, a_source_runs, a_run_records, a_technologies, a_stage_counts, a_stage_counts_once,
     n_hiring_rollup, p_flatten, p_nested, p_technologies, p_valid, p_reject, p_country, p_quality,
-    p_min_score, p_truth, p_failed_source, p_source_config, p_robots, p_robots_agent,
+    p_min_score, p_truth, p_failed_source, p_source_settings, p_robots, p_robots_agent,
     o_rank, o_top5, w_cap, w_site_cap, u_union, k_workbook_sets, k_csv, k_json, k_parquet,
     k_run_metrics,
-    n_tech_detect, n_tech_headers, n_tech_category, n_tech_attach, n_size, n_region, n_ip,
+    n_tech_detect, n_tech_page_headers, n_tech_category, n_site_stack, n_isolated, n_size, n_region, n_ip,
     n_funding, n_hiring, n_chain,
 )}
 
@@ -490,6 +528,9 @@ ORACLES |= {
     "a_stage_counts": f"""{_SCORED} SELECT 'read' AS stage, count(*) AS rows FROM scored
         UNION ALL SELECT 'keyed', count(DISTINCT domain) + count(*) FILTER (WHERE domain IS NULL) FROM scored
         UNION ALL SELECT 'high', count(*) FILTER (WHERE priority = 'high') FROM scored""",
+    "a_stage_counts_once": f"""{_SCORED} SELECT 'read' AS stage, count(*) AS rows FROM scored
+        UNION ALL SELECT 'high', count(*) FILTER (WHERE priority = 'high') FROM scored
+        UNION ALL SELECT 'written', count(*) FILTER (WHERE priority = 'high') FROM scored""",
     "n_hiring_rollup": _ROLLUP,
     "p_flatten": f"{_SCORED} SELECT {Q.flat_row()} FROM scored",
     "p_technologies": f"""{_LEADS} SELECT seq, CASE WHEN has_tech THEN {Q.TECHNOLOGIES} ELSE '' END
@@ -509,8 +550,8 @@ ORACLES |= {
     "p_truth": f"""{_LEADS} SELECT seq, has_hiring AND hiring AS hiring, has_tech AS tech,
         has_funding AS funding FROM leads""",
     "p_failed_source": f"SELECT doc_id, source FROM documents WHERE {_NUMBER} % 3 <> 0",
-    "p_source_config": """SELECT doc_id, length(source) * 100 AS max_chars FROM documents
-        WHERE n_chars <= length(source) * 100""",
+    "p_source_settings": """SELECT doc_id, length(source) * 100 AS max_chars,
+        n_chars <= length(source) * 100 AS within FROM documents""",
     "p_robots": f"""SELECT page_id, CASE WHEN length({_HOST}) % 2 <> 0 THEN true
         WHEN starts_with({_PATH}, '/en/1') THEN true WHEN starts_with({_PATH}, '/en') THEN false
         WHEN starts_with({_PATH}, '/fr/' || length({_HOST}) % 10) THEN false ELSE true END AS allowed
@@ -540,19 +581,28 @@ ORACLES |= {
         UNION ALL SELECT 'high_priority', name, total_score FROM scored WHERE priority = 'high'
         UNION ALL SELECT 'summary', "Metric", "Count"::DOUBLE FROM summary""",
     "n_tech_detect": f"{_MARKED} SELECT page_id, {Q.tech_list()} AS technologies FROM m",
-    "n_tech_headers": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'express' ELSE 'cloudflare' END
-        AS technologies FROM pages""",
+    "n_tech_page_headers": f"""WITH {Q.MARKED}, m AS (SELECT page_id, lower(html) || chr(10) ||
+        CASE WHEN page_id % 2 = 0 THEN 'x-powered-by: php, express' ELSE 'server: cloudflare' END AS t FROM marked)
+        SELECT page_id, {Q.tech_list()} AS technologies FROM m""",
     "n_tech_category": f"{_MARKED} SELECT page_id, "
         + ", ".join(f"{Q.tech_category(c)} AS {c}" for c in _CATEGORIES) + " FROM m",
-    "n_tech_attach": f"""{_MARKED}, {_SITES},
+    "n_site_stack": f"""{_MARKED}, {_SITES},
         found AS (SELECT regexp_replace(url, '/+$', '') AS page, string_agg(t, ' ') AS t FROM m
-                  WHERE page_id % 5 <> 4 GROUP BY 1),
+                  GROUP BY 1),
         named AS (SELECT page, {_ALL_TECH} AS technologies FROM found),
         joined AS (SELECT s.seq, s.has_enr, n.page IS NOT NULL AS hit, n.technologies FROM sites s
           LEFT JOIN named n ON n.page = coalesce(regexp_replace(s.website, '/+$', ''), 'https://' || s.domain))
         SELECT seq, has_enr OR hit AS has_enrichment, hit AS has_tech,
         CASE WHEN has_enr THEN 'web' END AS industry,
         CASE WHEN hit THEN technologies ELSE '' END AS technologies FROM joined""",
+    "n_isolated": f"""{_LEADS} SELECT seq,
+        CASE WHEN seq % 7 <> 3 THEN 'sector ' || seq % 5 WHEN has_enr THEN industry END AS industry,
+        CASE WHEN has_hiring AND open <= 40 THEN open WHEN has_enr THEN employees END AS employee_count,
+        {_SIZED} AS company_size,
+        concat_ws(',', CASE WHEN seq % 7 = 3 THEN 'industry' END,
+          CASE WHEN NOT has_hiring OR open > 40 THEN 'positions' END) AS failed,
+        concat_ws(',', CASE WHEN seq % 7 = 3 THEN 'ValueError' END, CASE WHEN NOT has_hiring THEN 'TypeError'
+          WHEN open > 40 THEN 'no valid enrichment' END) AS errors FROM leads""",
     "n_size": f"{_LEADS} SELECT seq, {_SIZED} AS company_size FROM leads",
     "n_region": f"{_LEADS} SELECT seq, {_REGION} AS region FROM leads",
     "n_ip": f"""WITH {_SITES}, keyed AS (SELECT *, coalesce(domain, {Q.domain('website')}) AS d FROM sites)

@@ -9,7 +9,6 @@ from pyspark.sql import Window
 from leadframe.operators import dedup as D
 from leadframe.operators import enrich as E
 from leadframe.operators import rank as R
-from leadframe.operators.similarity import similarity
 from leadframe.plans import inputs as I
 from leadframe.plans import sql as Q
 from leadframe.plans.run import RunOptions, run_leads
@@ -108,6 +107,12 @@ def s_api_json(spark, d):
     )
 
 
+def s_payload_rejects(spark, d):
+    """Payloads that gave no record, with the reason."""
+    found = J.unreadable_payloads(I.broken_payloads(spark, d))
+    return found.select("page_id", "reason", F.substring("near", 1, 20).alias("begins"))
+
+
 def s_product_details(spark, d):
     """Launch records with website, domain and topics of their detail pages."""
     c = I.table(spark, d, "customer")
@@ -214,13 +219,6 @@ def d_exact_name(spark, d):
     return D.first_per_name(docs).select("seq")
 
 
-def d_similarity(spark, d):
-    """Similarity of each page title with the first title of its host."""
-    p = I.page_companies(spark, d).select("seq", "domain", D.name_key().alias("name"))
-    first = p.groupBy("domain").agg(F.min_by("name", "seq").alias("first"))
-    return p.join(first, "domain").select("seq", similarity("name", "first").alias("ratio"))
-
-
 def d_fuzzy(spark, d):
     return D.deduplicate(I.page_companies(spark, d)).select("seq", "domain", "name")
 
@@ -310,9 +308,9 @@ def l_sources(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    s_nodes, s_links, s_generic, s_dir_a, s_dir_b, s_launch, s_launch_top, s_news, s_api_json,
+    s_nodes, s_links, s_generic, s_dir_a, s_dir_b, s_launch, s_launch_top, s_news, s_api_json, s_payload_rejects,
     s_product_details, s_makers, s_date_spine, s_take_while, e_size_bands, e_location, d_key,
-    d_domain_first, d_exact_name, d_similarity, d_fuzzy, d_fuzzy_names, d_representatives,
+    d_domain_first, d_exact_name, d_fuzzy, d_fuzzy_names, d_representatives,
     d_merge_fuzzy, d_merge, d_counts, l_best_sites, l_sites, l_sites_fuzzy, l_sources,
 )}
 
@@ -391,6 +389,10 @@ ORACLES = {
         'unknown' AS stage, n_name AS city, r_name AS region,
         CASE s_suppkey % 3 WHEN 0 THEN 'USA' WHEN 1 THEN 'UK' ELSE 'IND' END AS country
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "s_payload_rejects": """SELECT page_id, reason, begins FROM (
+          SELECT page_id, ['malformed', 'no items', 'empty', 'malformed'][page_id % 11] AS reason,
+            ['{"data":{"items":[{"', '{"data": {"entities"', ' ', '{"data": {"items": 7'][page_id % 11] AS begins
+          FROM (SELECT DISTINCT s_suppkey // 10 AS page_id FROM supplier)) WHERE reason IS NOT NULL""",
     "s_product_details": f"""SELECT {_N} AS name, 'https://www.p' || {_K} || '.example.com/x' AS website,
         'P' || {_K} || '.example.com' AS domain, 'product-hunt,new-launch,' || lower(c_mktsegment) AS tags
         FROM customer""",

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from leadframe.operators import dedup
+from leadframe.operators.aggregate import StageCounts
 from leadframe.operators.enrich import Enricher, enrich_all
 from leadframe.operators.score import min_score, score_companies
 from leadframe.operators.union import union_sources
@@ -42,10 +43,15 @@ def run_leads(
     source_runs: DataFrame | None = None,
     options: RunOptions | None = None,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
+    counts: StageCounts | None = None,
 ) -> DataFrame:
-    """Company sources in, scored companies out (unsorted; see ``rank``)."""
+    """Company sources in, scored companies out (unsorted; see ``rank``).
+
+    ``counts`` has the rows after each stage once a sink has written the result.
+    """
     o = options or RunOptions()
-    df = union_sources(sources)
+    seen = (lambda d, stage: d) if counts is None else counts.watch
+    df = seen(union_sources(sources), "collected")
     # filters that need no score come first
     if source_runs is not None:
         df = successful_sources(df, source_runs)
@@ -59,10 +65,11 @@ def run_leads(
             if o.name_threshold is None
             else dedup.deduplicate(df, o.name_threshold)
         )
+    df = seen(df, "distinct")
     if o.enrich and enrichers:
         df = enrich_all(df, enrichers)
     df = country_filter(df, o.include_countries, o.exclude_countries)
     if o.score:
         df = (scorer or (lambda d: score_companies(d, o.weights)))(df)
         df = min_score(df, o.min_score)
-    return df
+    return seen(df, "kept")

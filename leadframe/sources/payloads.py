@@ -42,7 +42,7 @@ PAYLOAD = T.StructType(
 
 
 def payload_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per organisation; malformed payloads give no rows."""
+    """One row per organisation; ``unreadable_payloads`` has those that give none."""
     keep = [c for c in payloads.columns if c != payload]
     parsed = payloads.select(*keep, F.from_json(payload, PAYLOAD).alias("j"))
     return parsed.select(*keep, F.posexplode("j.data.items").alias("item_pos", "i")).select(
@@ -50,6 +50,26 @@ def payload_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def unreadable_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Payloads that no organisation can be read from, with the reason instead of the text.
+
+    One parse per payload: ``empty`` (null or blank), ``malformed`` (no JSON, or a value of another
+    type than the record has), ``no items`` (the list of organisations is missing).  A payload with
+    an empty list is readable.  ``near`` is the first 80 characters.
+    """
+    keep = [c for c in payloads.columns if c != payload]
+    kind = T.StructType([*PAYLOAD.fields, T.StructField("_corrupt", _S)])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = payloads.withColumn("_j", F.from_json(payload, kind, options))
+    reason = (
+        F.when(F.col(payload).isNull() | F.col(payload).rlike(r"^\s*$"), "empty")
+        .when(F.col("_j._corrupt").isNotNull(), "malformed")
+        .when(F.col("_j.data.items").isNull(), "no items")
+    )
+    found = parsed.select(*keep, reason.alias("reason"), F.substring(payload, 1, 80).alias("near"))
+    return found.filter(F.col("reason").isNotNull())
+
+
 def read_organisations(
     payloads: DataFrame, page_order: str = "page_id", payload: str = "payload",
     query: str | None = None,
