@@ -19,6 +19,7 @@ from difflib import SequenceMatcher
 from itertools import combinations
 from math import ceil, floor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +54,7 @@ class Bounds:
         if not 0.0 < t <= 1.0:
             raise ValueError("threshold must be in (0, 1]")
         self.t = t
+        self._shared: dict[int, int] = {}
         self.ratio = length_ratio(t)
         self.gram = 2 if self._bigrams_suffice() else 1
         self.paired_from = next(
@@ -79,10 +81,16 @@ class Bounds:
 
     def shared(self, n: int) -> int:
         """Tokens a name of length n shares with any name it can match."""
-        total = n + self.partner_range(n)[0]
-        if self.gram == 1:
-            return max(1, _needed(self.t, total))
-        return max(1, ceil((1.5 * self.t - 1.0) * total - 1.0 - _EPS))
+        if n not in self._shared:
+            low, high = self.partner_range(n)
+            found = [self.shared_by(n, m) for m in range(low, high + 1) if _feasible(self.t, n, m)]
+            self._shared[n] = min(found, default=1)
+        return self._shared[n]
+
+    def shared_by(self, n: int, m: int) -> int:
+        """Tokens that two matching names of these lengths share."""
+        need = _needed(self.t, n + m)
+        return max(1, need if self.gram == 1 else 3 * need - 1 - (n + m))
 
     def paired(self, n: int) -> bool:
         return self.paired_from <= n <= _MAX_PAIRED
@@ -153,27 +161,40 @@ def is_similar(new: Column | str, kept: Column | str, t: float) -> Column:
     return compare(new, kept)
 
 
+#: Bins that the characters of a name are counted in.
+_BINS = 64
+
+
+def _binned(names: list[str]) -> np.ndarray:
+    """How many characters of each name fall in each bin."""
+    codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.repeat(np.arange(len(names)), [len(x) for x in names])
+    return np.bincount(at * _BINS + codes % _BINS, minlength=len(names) * _BINS).reshape(-1, _BINS)
+
+
+def possible(new: pd.Series, kept: pd.Series, t: float) -> np.ndarray:
+    """Which pairs may match: no more characters match than both names have, bin by bin."""
+    (left, a), (right, b) = (pd.factorize(x) for x in (new, kept))
+    one, two = _binned(list(a)), _binned(list(b))
+    out = np.zeros(len(new), bool)
+    for at in range(0, len(new), 8192):
+        x, y = one[left[at : at + 8192]], two[right[at : at + 8192]]
+        out[at : at + 8192] = 2 * np.minimum(x, y).sum(1) >= t * (x.sum(1) + y.sum(1)) - _EPS
+    return out
+
+
 def _compare_batch(new: pd.Series, kept: pd.Series, t: float) -> list[bool]:
-    """Compare pairs; the index of a kept name is built once per run of it."""
+    """Compare pairs; the index of a kept name is built once per run of it.
+
+    Most pairs of a hot block fail on their counts of characters, which takes no loop over pairs.
+    """
     hits = [False] * len(new)
     matcher, current = SequenceMatcher(None), None
-    order = sorted(range(len(new)), key=kept.tolist().__getitem__)
     news, olds = new.tolist(), kept.tolist()
-    for i in order:
+    for i in sorted(np.flatnonzero(possible(new, kept, t)).tolist(), key=olds.__getitem__):
         if olds[i] != current:
             current = olds[i]
             matcher.set_seq2(current)
         matcher.set_seq1(news[i])
-        # the character-count bound first
         hits[i] = matcher.quick_ratio() >= t and matcher.ratio() >= t
     return hits
-
-
-def similarity(new: Column | str, kept: Column | str) -> Column:
-    """The ratio itself, for reports and tests on few pairs."""
-
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)])
-
-    return ratio(new, kept)

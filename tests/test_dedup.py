@@ -1,10 +1,11 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from leadframe.operators import dedup as D
-from leadframe.operators.similarity import Bounds, signature_keys
+from leadframe.operators.similarity import Bounds, possible, signature_keys
 from sequential import greedy_keep
 
 SCHEMA = "seq long, name string, domain string, website string"
@@ -95,6 +96,40 @@ def test_representatives_and_merge(spark):
         assert r["domain"] == first_domain.get(r["seq"])
 
 
+def hot_names(n, seed):
+    """Unlike names that share their common words, some with near copies."""
+    rng = random.Random(seed)
+    part = lambda k: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(k))
+    names = [f"{part(7)} holding {part(2)}" for _ in range(n)]
+    return names + [x[:-1] + "q" for x in rng.sample(names, n // 5)]
+
+
+def test_large_blocks_are_dealt_in_parts(spark):
+    names = hot_names(160, 8) + [f"Welcome holding page {k:04d}" for k in range(60)]
+    rows = [(i, n, f"d{i % 150}.com" if i % 3 else None, None) for i, n in enumerate(names)]
+    kept, reps = expected(spark, rows, 0.85)
+    got = D.kept_positions(companies(spark, rows), 0.85, 8, 16).collect()
+    assert sorted(r["seq"] for r in got) == kept
+
+
+def test_unlike_names_of_a_large_block_are_not_compared_one_by_one():
+    names = pd.Series([n.lower() for n in hot_names(300, 9)])
+    left, right = (pd.Series([names[k] for pair in zip(range(len(names)), range(1, len(names))) for k in (pair[s],)])
+                   for s in (0, 1))
+    assert possible(left, right, 0.85).mean() < 0.05
+
+
+def test_in_order_and_rounds_agree(spark, monkeypatch):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefg ") for _ in range(rng.randrange(4, 24))) for _ in range(12)]
+    rows = random_rows(rng, 70, words, [None, None] + [f"h{i}.com" for i in range(8)])
+    kept, _ = expected(spark, rows, 0.85)
+    for few in (0, 10):
+        monkeypatch.setattr(D, "_FEW", few)
+        got = D.kept_positions(companies(spark, rows), 0.85, 6).collect()
+        assert sorted(r["seq"] for r in got) == kept
+
+
 def test_idempotent(spark, sf_small):
     from leadframe.plans.inputs import page_companies
 
@@ -122,6 +157,7 @@ def test_matching_names_share_a_key(t):
             checked += 1
             rank = {"ab": 3, "cd": 9}
             assert set(signature_keys(a, bounds, rank)) & set(signature_keys(b, bounds, rank)), (a, b)
+            assert possible(pd.Series([a, "xx"]), pd.Series([b, "yy"]), t)[0]
     assert checked > 100 or t == 1.0
 
 
