@@ -13,17 +13,14 @@ _PARTS = (
     r"(?:\?([^#]*))?(?:#([\s\S]*))?$"
 )
 
-_LABEL = (
-    r"[a-zA-Z0-9\x{a1}-\x{ffff}]"
-    r"(?:[a-zA-Z0-9\x{a1}-\x{ffff}\-]{0,61}[a-zA-Z0-9\x{a1}-\x{ffff}])?"
-)
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_VALID = (
-    r"^https?://(?:[^\s:@/?#]+(?::[^\s@/?#]*)?@)?"
-    rf"(?:(?:{_OCTET}\.){{3}}{_OCTET}"
-    rf"|(?:{_LABEL}\.)+[a-zA-Z\x{{a1}}-\x{{ffff}}][a-zA-Z0-9\x{{a1}}-\x{{ffff}}\-]{{1,62}})"
-    r"(?::[0-9]{2,5})?(?:[/?#]\S*)?$"
-)
+_IPV4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
+_LETTER = r"a-zA-Z0-9\x{a1}-\x{ffff}"
+# A label of a host name; two hyphens in its third and fourth place belong to encoded names.
+_LABEL = rf"^(?![{_LETTER}]{{2}}--)[{_LETTER}](?:[{_LETTER}\-]{{0,61}}[{_LETTER}])?$|^(?i:xn--)[a-zA-Z0-9\-]{{0,58}}[a-zA-Z0-9]$"
+_TOP = rf"^[a-zA-Z\x{{a1}}-\x{{ffff}}][{_LETTER}\-]{{1,62}}$"
+_USER = r"^(?:[A-Za-z0-9._~!$&()*+,;=\-]|%[0-9A-Fa-f]{2})+(?::(?:[A-Za-z0-9._~!$&()*+,;=:\-]|%[0-9A-Fa-f]{2})*)?$"
+_REST = r'^(?:[^\s<>"{}|\\^`%]|%[0-9A-Fa-f]{2})*$'
 
 
 def with_protocol(c: Column | str) -> Column:
@@ -48,10 +45,6 @@ def normalize_url(c: Column | str) -> Column:
     )
 
 
-def validate_url(c: Column | str) -> Column:
-    return F.when(blank(c), F.lit(False)).otherwise(with_protocol(c).rlike(_VALID))
-
-
 # The functions below need many parts of a URL at once.  Their bodies are SQL
 # lambdas: one expression to parse instead of hundreds of column calls, and
 # values that are bound once per row by ``_let``.
@@ -67,6 +60,73 @@ def _sql_let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def _sql_ipv6(host: str) -> str:
+    """Is this the text of an IPv6 address (RFC 4291), maybe with an IPv4 address at its end?"""
+    groups = f"filter(split({host}, ':'), g -> g <> '')"
+    last = "coalesce(try_element_at(g, -1), '')"
+    facts = f"named_struct('g', g, 'tail', {last}, 'v4', contains({last}, '.'), 'gap', contains({host}, '::'))"
+    test = (
+        f"(CASE WHEN NOT contains({host}, ':') OR contains({host}, ':::') OR {host} rlike r'^:[^:]' "
+        f"OR {host} rlike r'[^:]:$' OR length({host}) - length(replace({host}, '::', '')) > 2 THEN false "
+        f"WHEN s.v4 AND (NOT s.tail rlike r'{_IPV4}' OR endswith({host}, ':')) THEN false "
+        "WHEN exists(slice(s.g, 1, size(s.g) - int(s.v4)), g -> NOT g rlike r'^[0-9A-Fa-f]{1,4}$') THEN false "
+        "WHEN s.gap THEN size(s.g) + int(s.v4) <= 7 ELSE size(s.g) + int(s.v4) = 8 END)"
+    )
+    return _sql_let("g", groups, _sql_let("s", facts, test))
+
+
+def url_problem(c: Column | str) -> Column:
+    """What makes a URL invalid; null if it is valid.
+
+    ``empty``, ``space`` (or a control character), ``user`` (user name and password, RFC 3986),
+    ``ipv6`` and ``ipv4`` (literals), ``port`` (1 to 65535), ``host`` (labels of letters, digits and
+    inner hyphens, international ones plain or encoded, with a top level) or ``path`` (path, query
+    or fragment with a character that must be escaped, or a broken escape).  A protocol other than
+    http and https counts as part of the rest, as everywhere here.
+    """
+    url = as_col(c)
+    parts = (
+        "named_struct('auth', regexp_extract(x, r'^https?://([^/?#]*)', 1), "
+        "'rest', regexp_extract(x, r'(?s)^https?://[^/?#]*(.*)$', 1), 'whole', x)"
+    )
+    sides = (
+        "named_struct('whole', p.whole, 'rest', p.rest, 'ats', length(p.auth) - length(replace(p.auth, '@', '')), "
+        "'user', if(contains(p.auth, '@'), substring_index(p.auth, '@', 1), null), "
+        "'host', substring_index(p.auth, '@', -1))"
+    )
+    halves = (
+        "named_struct('v6', startswith(q.host, '['), 'name', if(startswith(q.host, '['), "
+        r"regexp_extract(q.host, r'^\[([^\[\]]*)\](?::[^\[\]]*)?$', 1), substring_index(q.host, ':', 1)), "
+        r"'port', if(startswith(q.host, '['), regexp_extract(q.host, r'^\[[^\[\]]*\](:.*)?$', 1), "
+        "substring(q.host, length(substring_index(q.host, ':', 1)) + 1)))"
+    )
+    labels = r"split(h.name, r'\.', -1)"
+    name = (
+        "(CASE WHEN length(h.name) > 253 THEN 'host' "
+        f"WHEN h.name rlike r'^[0-9.]+$' THEN if(h.name rlike r'{_IPV4}', null, 'ipv4') "
+        f"WHEN size({labels}) < 2 OR exists({labels}, l -> NOT l rlike r'{_LABEL}') "
+        f"OR NOT element_at({labels}, -1) rlike r'{_TOP}' THEN 'host' END)"
+    )
+    host = (
+        f"(CASE WHEN h.v6 AND NOT {_sql_ipv6('h.name')} THEN 'ipv6' "
+        r"WHEN NOT h.v6 AND q.host rlike r'[\[\]]' THEN 'ipv6' "
+        "WHEN h.port <> '' AND NOT coalesce(h.port rlike r'^:[0-9]{1,5}$' "
+        "AND try_cast(substring(h.port, 2) AS int) BETWEEN 1 AND 65535, false) THEN 'port' "
+        f"WHEN h.v6 THEN null ELSE {name} END)"
+    )
+    whole = (
+        r"(CASE WHEN q.whole rlike r'[\s\x00-\x1F\x7F]' THEN 'space' "
+        f"WHEN q.ats > 1 OR (q.user IS NOT NULL AND NOT q.user rlike r'{_USER}') THEN 'user' "
+        f"ELSE coalesce({_sql_let('h', halves, host)}, if(q.rest rlike r'{_REST}', null, 'path')) END)"
+    )
+    body = _sql_let("p", parts, _sql_let("q", sides, whole))
+    return F.when(blank(url), F.lit("empty")).otherwise(_let(with_protocol(url), body))
+
+
+def validate_url(c: Column | str) -> Column:
+    return url_problem(c).isNull()
+
+
 def _sql_parts(url: str) -> str:
     """Parts of a URL as a struct; missing parts are ''."""
     part = lambda i: f"regexp_extract({url}, r'{_PARTS}', {i})"

@@ -75,6 +75,17 @@ def source_run_records(attempts: DataFrame) -> DataFrame:
     )
 
 
+def source_run_messages(attempts: DataFrame) -> DataFrame:
+    """Messages of each source as rows: (source, kind, message, attempts).
+
+    The child table of ``source_run_records``: a source with any number of different messages is
+    as many rows, counted on the map side, and no array.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("message")) for k in ("error", "warning")])
+    rows = attempts.select("source", F.inline(kinds)).filter(F.col("message").isNotNull())
+    return rows.groupBy("source", "kind", "message").agg(F.count(F.lit(1)).alias("attempts"))
+
+
 def hiring_rollup(
     postings: DataFrame, ref_time: str, recent_days: int = 30, by: str = "company"
 ) -> DataFrame:

@@ -94,15 +94,23 @@ def a_source_runs(spark, d):
     )
 
 
-def a_run_records(spark, d):
-    attempts = I.table(spark, d, "events").select(
+def _attempts(spark, d):
+    return I.table(spark, d, "events").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("bad "), (F.col("user_id") % 3).cast("string")))
         .alias("error"),
         F.when(F.col("event_type") == "view", F.lit("slow")).alias("warning"),
         F.floor("value").alias("seconds"),
     )
-    out = A.source_run_records(attempts)
+
+
+def a_run_messages(spark, d):
+    """Errors and warnings of each source with the attempts that had them."""
+    return A.source_run_messages(_attempts(spark, d))
+
+
+def a_run_records(spark, d):
+    out = A.source_run_records(_attempts(spark, d))
     return out.select(
         "source", "success", F.array_join("errors", "|").alias("errors"),
         F.array_join("warnings", "|").alias("warnings"), "execution_time",
@@ -436,7 +444,7 @@ def n_chain(spark, d):
 QUERIES = {f"c_{p}": _score_part(f"{p}_score") for p in ("intent", "fit", "tech", "engagement")}
 QUERIES |= {f.__name__: f for f in (
     c_total_priority, c_custom_weights, c_ignore_case, c_intent_alt, r_rules, r_flags,
-    a_summary, a_priority, a_source_runs, a_run_records, a_technologies, a_stage_counts, a_stage_counts_once,
+    a_summary, a_priority, a_source_runs, a_run_records, a_run_messages, a_technologies, a_stage_counts, a_stage_counts_once,
     n_hiring_rollup, p_flatten, p_nested, p_technologies, p_valid, p_reject, p_country, p_quality,
     p_min_score, p_truth, p_failed_source, p_source_settings, p_robots, p_robots_agent,
     o_rank, o_top5, w_cap, w_site_cap, u_union, k_workbook_sets, k_csv, k_json, k_parquet,
@@ -521,6 +529,9 @@ ORACLES |= {
         coalesce(max(CASE WHEN event_type = 'error' THEN 'bad ' || (user_id % 3) END), '') AS errors,
         coalesce(max(CASE WHEN event_type = 'view' THEN 'slow' END), '') AS warnings,
         CAST(sum(floor(value)) AS BIGINT) AS execution_time FROM events GROUP BY user_id""",
+    "a_run_messages": """SELECT 'u' || user_id AS source, CASE event_type WHEN 'error' THEN 'error' ELSE 'warning' END
+        AS kind, CASE event_type WHEN 'error' THEN 'bad ' || (user_id % 3) ELSE 'slow' END AS message,
+        count(*) AS attempts FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL""",
     "a_technologies": f"""{_LEADS}, t AS (
         SELECT framework AS technology FROM leads WHERE has_tech UNION ALL SELECT db FROM leads WHERE has_tech
         UNION ALL SELECT cloud FROM leads WHERE has_tech UNION ALL SELECT analytics FROM leads WHERE has_tech)

@@ -56,6 +56,25 @@ def x_validate_url(spark, d):
     )
 
 
+def x_url_problem(spark, d):
+    """What is wrong with forms of each address that a list of pages may hold."""
+    k = F.col("page_id")
+    bare = F.regexp_replace("url", "^https?://", "")
+    forms = [
+        F.col("url"),
+        F.concat(F.lit("http://user:p%20w@"), bare),
+        F.concat(F.lit("http://10.0."), (k % 300).cast("string"), F.lit(".1/x")),
+        F.concat(F.lit("http://[2001:db8::"), F.lower(F.hex(k)), F.lit("]/")),
+        F.concat(F.lit("http://example.com:"), (k * 977 % 90_000).cast("string"), F.lit("/a?b=c")),
+        F.concat(F.lit("http://a@b@"), bare),
+        F.concat(F.col("url"), F.lit("/{x}")),
+        F.concat(F.lit("https://bücher"), k.cast("string"), F.lit(".example/é")),
+        F.concat(F.lit("https://"), F.repeat(F.lit("x"), (k % 80).cast("int")), F.lit("y.com")),
+    ]
+    pages = table(spark, d, "pages").select("page_id", F.posexplode(F.array(*forms)).alias("form", "u"))
+    return pages.select("page_id", "form", U.url_problem("u").alias("problem"))
+
+
 def x_clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", X.clean_text("text").alias("cleaned"))
 
@@ -196,7 +215,7 @@ def j_next_p(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    x_domain, x_normalize_url, x_validate_url, x_clean_text, x_clean_company, x_email_flag,
+    x_domain, x_normalize_url, x_validate_url, x_url_problem, x_clean_text, x_clean_company, x_email_flag,
     x_phone_flag, x_digits_int, x_float, x_url_canonical, x_url_resolve, x_search_url,
     x_title_case, x_show_prefix, x_chunk, x_chunk_by, x_chunk_array, x_safe_get, x_format,
     j_next_p,
@@ -223,6 +242,13 @@ ORACLES = {
     "x_validate_url": f"""SELECT page_id, regexp_matches({Q.with_protocol('url')}, {Q.lit(_VALID)}) AS valid,
         CASE WHEN {_ODD} = '' THEN false
              ELSE regexp_matches({Q.with_protocol(_ODD)}, {Q.lit(_VALID)}) END AS valid_odd FROM pages""",
+    "x_url_problem": """SELECT page_id, CAST(form AS INTEGER) AS form, CASE form
+        WHEN 2 THEN CASE WHEN page_id % 300 > 255 THEN 'ipv4' END
+        WHEN 3 THEN CASE WHEN page_id > 65535 THEN 'ipv6' END
+        WHEN 4 THEN CASE WHEN page_id * 977 % 90000 NOT BETWEEN 1 AND 65535 THEN 'port' END
+        WHEN 5 THEN 'user' WHEN 6 THEN 'path'
+        WHEN 8 THEN CASE WHEN page_id % 80 + 1 > 63 THEN 'host' END END AS problem
+        FROM pages, range(9) AS f(form)""",
     "x_clean_text": f"SELECT doc_id, {Q.clean('text')} AS cleaned FROM documents",
     "x_clean_company": f"SELECT c_custkey AS k, {Q.company('name')} AS company FROM {_NAMED}",
     "x_email_flag": f"""SELECT doc_id, {Q.email('text')} IS NOT NULL AS has_email,
