@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from leadframe import schema as S
 from leadframe.functions.text import blank, title_name
 from leadframe.functions.urls import extract_domain, normalize_url
+from leadframe.operators.detect import technologies_in
 
 Enricher = Callable[[DataFrame], DataFrame]
 
@@ -77,6 +78,10 @@ REGIONS: dict[str, list[str]] = {
 }
 
 
+#: Patterns that are searched one by one in generated code.
+PROBES = 200
+
+
 def _literal(pattern: str) -> str | None:
     """The plain text a pattern stands for, or None if it is a real regex."""
     if re.search(r"(?<!\\)[.\[\](){}*+?^$|]", pattern):
@@ -115,14 +120,18 @@ def detect_technologies(
 ) -> DataFrame:
     """Add the names of all technologies found in page text or headers.
 
-    One scan of the page row: meta and script passes would only re-search
-    parts of the same text.  No UDF, no explode, no shuffle.
+    Meta and script passes would only re-search parts of the same text.  Up to ``PROBES`` patterns
+    are probes in generated code, no UDF; more are one automaton that reads each page once.  No
+    explode, no shuffle.
     """
     parts = [html] if headers is None else [html, headers]
     text = F.lower(F.concat_ws("\n", *parts))
+    signatures = SIGNATURES if signatures is None else signatures
+    if sum(map(len, signatures.values())) > PROBES:
+        return df.withColumn(column, technologies_in(text, signatures))
     found = [
         F.when(technology_present(F.col("_text"), patterns), F.lit(name))
-        for name, patterns in (signatures or SIGNATURES).items()
+        for name, patterns in signatures.items()
     ]
     return (
         df.withColumn("_text", text)

@@ -330,6 +330,17 @@ def n_tech_page_headers(spark, d):
     return df.select("page_id", F.array_join("technologies", ",").alias("technologies"))
 
 
+def n_tech_many(spark, d):
+    """Thousands of signatures, by one reading of each page."""
+    more = {f"tool{k}": [rf"tool\.{k}\.js", f"data-tool{k}=[a-z]+"] for k in range(3000)}
+    k = F.col("page_id")
+    mark = F.when(k % 2 == 0, F.format_string("<script src='tool.%d.js'>", k % 3000)).otherwise(
+        F.format_string("<p data-tool%d=x><p data-tool%d=1>", k % 3000, (k + 1) % 3000))
+    pages = I.marked_pages(spark, d).withColumn("html", F.concat("html", mark))
+    df = E.detect_technologies(pages, signatures=E.SIGNATURES | more)
+    return df.select("page_id", F.array_join("technologies", ",").alias("technologies"))
+
+
 def n_tech_category(spark, d):
     df = E.detect_technologies(I.marked_pages(spark, d))
     stack = df.select("page_id", E.categorize(F.col("technologies")).alias("t"))
@@ -449,7 +460,7 @@ QUERIES |= {f.__name__: f for f in (
     p_min_score, p_truth, p_failed_source, p_source_settings, p_robots, p_robots_agent,
     o_rank, o_top5, w_cap, w_site_cap, u_union, k_workbook_sets, k_csv, k_json, k_parquet,
     k_run_metrics,
-    n_tech_detect, n_tech_page_headers, n_tech_category, n_site_stack, n_isolated, n_size, n_region, n_ip,
+    n_tech_detect, n_tech_many, n_tech_page_headers, n_tech_category, n_site_stack, n_isolated, n_size, n_region, n_ip,
     n_funding, n_hiring, n_chain,
 )}
 
@@ -592,6 +603,8 @@ ORACLES |= {
         UNION ALL SELECT 'high_priority', name, total_score FROM scored WHERE priority = 'high'
         UNION ALL SELECT 'summary', "Metric", "Count"::DOUBLE FROM summary""",
     "n_tech_detect": f"{_MARKED} SELECT page_id, {Q.tech_list()} AS technologies FROM m",
+    "n_tech_many": f"""{_MARKED} SELECT page_id, concat_ws(',', nullif({Q.tech_list()}, ''),
+        'tool' || page_id % 3000) AS technologies FROM m""",
     "n_tech_page_headers": f"""WITH {Q.MARKED}, m AS (SELECT page_id, lower(html) || chr(10) ||
         CASE WHEN page_id % 2 = 0 THEN 'x-powered-by: php, express' ELSE 'server: cloudflare' END AS t FROM marked)
         SELECT page_id, {Q.tech_list()} AS technologies FROM m""",
