@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,6 +12,7 @@ from pyspark.sql import Window
 from leadframe.operators import dedup as D
 from leadframe.operators import enrich as E
 from leadframe.operators import rank as R
+from leadframe.operators.kept import KeptIndex
 from leadframe.plans import inputs as I
 from leadframe.plans import sql as Q
 from leadframe.plans.run import RunOptions, run_leads
@@ -230,6 +234,16 @@ def d_fuzzy_names(spark, d):
     return D.deduplicate(p.withColumns({"domain": none, "website": none})).select("seq", "name")
 
 
+def d_batches(spark, d):
+    """The kept pages, collected in three batches of which each meets the kept ones of the earlier."""
+    p = I.page_companies(spark, d)
+    third = p.agg(F.max("seq")).first()[0] // 3 + 1
+    index = KeptIndex(spark, f"kept_{uuid.uuid4().hex}", buckets=8)
+    kept = [index.add(p.filter(F.floor(F.col("seq") / third) == k)) for k in range(3)]
+    index.drop()
+    return reduce(DataFrame.unionByName, kept)
+
+
 def d_representatives(spark, d):
     return D.representatives(I.page_companies(spark, d))
 
@@ -310,7 +324,7 @@ def l_sources(spark, d):
 QUERIES = {f.__name__: f for f in (
     s_nodes, s_links, s_generic, s_dir_a, s_dir_b, s_launch, s_launch_top, s_news, s_api_json, s_payload_rejects,
     s_product_details, s_makers, s_date_spine, s_take_while, e_size_bands, e_location, d_key,
-    d_domain_first, d_exact_name, d_fuzzy, d_fuzzy_names, d_representatives,
+    d_domain_first, d_exact_name, d_fuzzy, d_fuzzy_names, d_batches, d_representatives,
     d_merge_fuzzy, d_merge, d_counts, l_best_sites, l_sites, l_sites_fuzzy, l_sources,
 )}
 

@@ -28,7 +28,7 @@ def random_rows(rng, n, words, keys):
 
 
 def expected(spark, rows, t):
-    clean = D._records(companies(spark, rows)).collect()
+    clean = D.records_of(companies(spark, rows)).collect()
     records = [(r.seq, r.key, r.name) for r in sorted(clean, key=lambda r: r.seq)]
     return greedy_keep(records, t)
 
