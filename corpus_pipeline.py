@@ -1,7 +1,13 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage works on all rows its predecessor kept.  Between stages the rows are written to the
-shared folder and read again.
+shared folder and read again, so a lost executor costs a part of one stage.
+
+Defined cases: a null or empty text fails the quality rules; very long texts go through whole; equal
+texts are near copies, of which the least id stays (with a null id last), and of equal rows one;
+rows with a null or repeated id stay if their text is the one kept of its class; the mix repeats
+documents up to ``mixing.GROWTH`` times the tokens, and repeats are packed like other documents; an
+empty table gives an empty result; further columns travel until packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated towards the target mix; each stays once at least."""
+    """Documents repeated towards the target mix, within its bound; each stays once at least."""
     return mixing.mixed(docs, mixing.domains_of(docs, table(spark, sf_dir, "labels")))
 
 
