@@ -20,7 +20,7 @@ from leadframe.schema import companies
 from leadframe.sources import payloads as J
 from leadframe.sources import profiles as P
 from leadframe.sources import series as N
-from leadframe.sources.html import html_nodes
+from leadframe.sources.html import TEXT, html_nodes
 
 # --- pages --------------------------------------------------------------------------
 
@@ -31,6 +31,13 @@ def s_nodes(spark, d):
     return nodes.groupBy(F.col("n.tag").alias("tag")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
+def s_tag_counts(spark, d):
+    """Elements of each page by tag."""
+    nodes = F.filter(html_nodes("html"), lambda n: n["tag"] != TEXT)
+    tags = I.table(spark, d, "pages").select("page_id", F.explode(nodes).alias("n"))
+    return tags.groupBy("page_id", F.col("n.tag").alias("tag")).agg(F.count(F.lit(1)).alias("elements"))
+
+
 def s_links(spark, d):
     """Links of each page (containment of anchors in list items)."""
     tags = ["li", "a"]
@@ -322,7 +329,7 @@ def l_sources(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    s_nodes, s_links, s_generic, s_dir_a, s_dir_b, s_launch, s_launch_top, s_news, s_api_json, s_payload_rejects,
+    s_nodes, s_tag_counts, s_links, s_generic, s_dir_a, s_dir_b, s_launch, s_launch_top, s_news, s_api_json, s_payload_rejects,
     s_product_details, s_makers, s_date_spine, s_take_while, e_size_bands, e_location, d_key,
     d_domain_first, d_exact_name, d_fuzzy, d_fuzzy_names, d_batches, d_representatives,
     d_merge_fuzzy, d_merge, d_counts, l_best_sites, l_sites, l_sites_fuzzy, l_sources,
@@ -403,6 +410,10 @@ ORACLES = {
         'unknown' AS stage, n_name AS city, r_name AS region,
         CASE s_suppkey % 3 WHEN 0 THEN 'USA' WHEN 1 THEN 'UK' ELSE 'IND' END AS country
         FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "s_tag_counts": r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
+          '(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '\1\2', 'gis') AS h FROM pages),
+        tags AS (SELECT page_id, unnest(regexp_extract_all(h, '<([A-Za-z][^\s/>]*)', 1)) AS tag FROM bare)
+        SELECT page_id, lower(tag) AS tag, count(*) AS elements FROM tags GROUP BY ALL""",
     "s_payload_rejects": """SELECT page_id, reason, begins FROM (
           SELECT page_id, ['malformed', 'no items', 'empty', 'malformed'][page_id % 11] AS reason,
             ['{"data":{"items":[{"', '{"data": {"entities"', ' ', '{"data": {"items": 7'][page_id % 11] AS begins

@@ -45,17 +45,28 @@ _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SECTIONS = frozenset("thead tbody tfoot".split())
 # An opening tag on the left ends open elements of the middle set, up to the
 # nearest element of the right set.
+_ROW, _CELL = {"tr", "td", "th"}, {"td", "th"}
 _IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "tr": (_ROW | {"caption", "colgroup"}, {"table", *_SECTIONS}),
+    "td": (_CELL, {"tr", "table"}),
+    "th": (_CELL, {"tr", "table"}),
+    **{t: (_ROW | _SECTIONS | {"caption", "colgroup"}, {"table"}) for t in _SECTIONS},
+    "option": ({"option"}, {"select", "optgroup", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "a": ({"a"}, {"table", "td", "th", "caption", "button", "object"}),
+    "button": ({"button"}, {"table", "td", "th", "caption", "form"}),
 }
+# An end tag closes what it finds open up to an element of a higher rank: an inline end tag ends
+# no block, a block's no table cell, a cell's no other row.
+_RANK = {"div": 1, "section": 1, "article": 1, "main": 1, "ul": 1, "ol": 1, "dl": 1, "form": 1, "td": 2, "th": 2,
+         "caption": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5, "body": 6, "head": 6, "html": 7}
 
 
 class _PageReader(HTMLParser):
@@ -91,6 +102,8 @@ class _PageReader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _CLOSES_P:
             self._end_implied({"p"}, {"table", "td", "th", "li", "button", "div", "body"})
+        if tag in _HEADINGS and self.open and self.open[-1][0] in _HEADINGS:
+            self._pop_to(len(self.open) - 1)
         if tag in _IMPLIED_END:
             self._end_implied(*_IMPLIED_END[tag])
         index = -1
@@ -116,10 +129,20 @@ class _PageReader(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "br":  # as browsers read it
+            self.handle_starttag(tag, [])
+            return
+        rank = _RANK.get(tag, 0)
         for d in range(len(self.open) - 1, -1, -1):
-            if self.open[d][0] == tag:
+            name = self.open[d][0]
+            if name == tag or (tag in _HEADINGS and name in _HEADINGS):
                 self._pop_to(d)
                 return
+            if _RANK.get(name, 0) > rank:
+                break
+        if tag == "p":  # an end without a beginning is an empty paragraph
+            self.handle_starttag(tag, [])
+            self._pop_to(len(self.open) - 1)
 
     def handle_data(self, data: str) -> None:
         if self.kept_open and self.open[-1][0] not in _RAW:
