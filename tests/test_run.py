@@ -23,24 +23,25 @@ def words(*items):
     return F.array(*[F.lit(i) for i in items]).cast("array<string>")
 
 
-def demo(spark):
+def harbour(spark):
     return one(
-        spark, name="Test Startup Inc", website="https://example.com/", description="An innovative one",
+        spark, name="Harbour Analytics", website="https://harbour.example/", description="Tide tables",
         source="manual",
         enrichment=S.build(
-            S.ENRICHMENT, company_size="small", employee_count=45,
-            hiring_intent=S.build(S.HIRING_INTENT, total_open_positions=8, is_hiring=True, recent_postings=5),
+            S.ENRICHMENT, company_size="medium", employee_count=120,
+            hiring_intent=S.build(S.HIRING_INTENT, total_open_positions=4, is_hiring=True, recent_postings=1),
             tech_stack=S.build(
-                S.TECH_STACK, frameworks=words("React", "Django"), databases=words("PostgreSQL"),
-                cloud_providers=words("AWS")),
+                S.TECH_STACK, frameworks=words("Rails"), databases=words("Redis"),
+                cloud_providers=words("Azure"), analytics=words("Mixpanel")),
         ),
     )
 
 
-def test_demo_score(spark):
-    s = score.score_companies(demo(spark)).first()["score"]
-    assert (s.intent_score, s.fit_score, s.tech_score, s.engagement_score) == (80, 90, 90, 50)
-    assert (s.total_score, s.priority) == (80.5, "high")
+def test_score_of_a_full_record(spark):
+    """30 + 4 * 5 + 10; 90 + 10; 40 + 15 + 15 + 10; 30 + 20; weights 0.35, 0.3, 0.2, 0.15."""
+    s = score.score_companies(harbour(spark)).first()["score"]
+    assert (s.intent_score, s.fit_score, s.tech_score, s.engagement_score) == (60, 100, 80, 50)
+    assert (s.total_score, s.priority) == (74.5, "high")
 
 
 def test_recorded_run_score(spark):
@@ -146,7 +147,7 @@ def test_run_stages_can_be_switched(spark):
 
 
 def test_rules(spark):
-    df = demo(spark)
+    df = harbour(spark)
     got = RuleSet(is_high_value_target).add(F.col("enrichment.employee_count") > 40).apply(df).first()
     assert got["rules"] == {"rule_0": False, "rule_1": True}
 
