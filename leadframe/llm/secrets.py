@@ -1,8 +1,10 @@
 """Secret scan: a worklist of decoded layers, each rescanned, spans mapped to the source.
 
 The text itself is the first layer.  A layer with escapes (percent, ``\\u``, ``\\x``, HTML
-character references) yields its unescaped form; a run of base64, also one wrapped over lines,
-yields its bytes, unpacked if they are a zlib or gzip stream.  The newest layer is decoded first,
+character references) yields its unescaped form; a run of base64, also one wrapped over lines or
+standing behind ``-``, ``/``, ``+`` or ``_``, yields its bytes, as does a run of escapes that begins like a zlib
+or gzip stream.  Bytes are unpacked if they are such a stream, else read as UTF-8 or UTF-16; they
+are text unless they hold NUL or many control characters (``CONTROLS``).  The newest layer is decoded first,
 a layer seen before from the same place of the source is not visited again, and the list runs
 empty because only unseen layers enter and every decoding is shorter than what it came from,
 unpacked streams aside, and these are finite.
@@ -11,8 +13,11 @@ A packed stream is read twice, in chunks: once to see that all of it is text, on
 layers, which are cut only where nothing that is looked for, in it or in what it decodes to, can
 lie across.  So memory holds a chunk or the longest stretch without such a place, not the stream.
 
-Defined cases: a null text counts as empty (no spans); repeated rows get equal results; an
-empty table gives an empty result; further columns of the input do not matter.
+Defined cases: a null text counts as empty (no spans); a very long text, or one of very many
+matches, takes time in proportion to its content; of equal spans from several layers one stays, spans
+of different layers may overlap, and one that overlaps a base span of its kind is left out;
+repeated rows get equal results; an empty table gives an empty result; further columns of the input
+do not matter.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ import hashlib
 import html
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +45,8 @@ CHUNK = 1 << 20
 #: Shortest base64 run that is tried, without padding: that of ``token=12345678``, and that of a
 #: zlib stream of one repeated character.
 MIN_BASE64, MIN_PACKED = 19, 14
+#: Share of control characters (white space aside) above which decoded bytes are no text.
+CONTROLS = 0.1
 
 _ASSIGN = re.compile(
     r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -55,6 +63,15 @@ _BASE64 = re.compile(
     % (MIN_BASE64, MIN_PACKED - 2)
 )
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
+#: Places inside a run where another one may begin or end, and letters that tell if one does.
+_BORDER = re.compile(r"[+/_-]")
+PROBE = 24
+_CONTROL = re.compile(r"[\x00-\x08\x0E-\x1F\x7F-\x9F]")
+#: Percent-encoded and ``\\x``-encoded bytes that begin like a zlib or gzip stream.
+_PACKED = re.compile(
+    r"(?:(?:x|%78)(?:%01|\^|%5[Ee]|%9[Cc]|%[Dd][Aa])|%1[Ff]%8[Bb])(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~*!'()/^-])+"
+    r"|(?:\\x78\\x(?:01|5[Ee]|9[Cc]|[Dd][Aa])|\\x1[Ff]\\x8[Bb])(?:\\x[0-9A-Fa-f]{2})+"
+)
 _LINE = re.compile(r"[^\r\n]+")
 #: Ends where no match, escape or base64 run goes on, whatever is decoded on either side: after a
 #: character that none of them has, an empty line, a line that ends in none of base64 or an
@@ -145,7 +162,7 @@ def _unescaped(layer: _Layer) -> _Layer | None:
 
 
 def _readable(text: str) -> bool:
-    return text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable()
+    return text.isprintable() or ("\0" not in text and len(_CONTROL.findall(text)) <= CONTROLS * len(text))
 
 
 def _pieces(data: bytes, wbits: int) -> Iterator[str]:
@@ -198,8 +215,14 @@ def _texts(data: bytes) -> Iterator[str]:
         else:
             yield from _sections(_pieces(data, wbits))
             return
+    zeros = (data[::2].count(0), data[1::2].count(0))
+    kind = "utf-8"
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        kind = "utf-16"
+    elif 4 * max(zeros) > len(data):  # every other byte of UTF-16 is mostly 0 in Latin text
+        kind = "utf-16-le" if zeros[1] > zeros[0] else "utf-16-be"
     try:
-        text = data.decode()
+        text = data.decode(kind)
     except UnicodeDecodeError:
         return
     if _readable(text):
@@ -238,28 +261,78 @@ def _runs(text: str) -> Iterator[tuple[int, int]]:
             yield from _lines(text, *m.span())
 
 
+def _bytes_of(run: str) -> bytes:
+    run = run.replace("\r", "").replace("\n", "").rstrip("=").replace("-", "+").replace("_", "/")
+    run = run[: len(run) - (len(run) % 4 == 1)]
+    try:
+        return base64.b64decode(run + "=" * (-len(run) % 4))
+    except binascii.Error:
+        return b""
+
+
+def _begins(data: bytes) -> bool:
+    """May these be the first bytes of a packed stream or a text?"""
+    if data[:2] in (b"\x1f\x8b", b"\xff\xfe", b"\xfe\xff") or data[:1] == b"\x78":
+        return True
+    text = data.decode("utf-8", "ignore")
+    return len(text.encode()) >= len(data) - 3 and (_readable(text) or b"\0" in data[:2])
+
+
+def _inner(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans inside a run that is no encoding as a whole: between borders, where they begin like one.
+
+    Each begins behind a border (or at the start) and ends where its text does: at the end, or at the
+    last border before the first byte that is no text.
+    """
+    borders = [m.start() for m in _BORDER.finditer(text, start, end)]
+    for a in [start, *(b + 1 for b in borders)]:
+        if end - a < MIN_PACKED or not _begins(_bytes_of(text[a : min(a + PROBE, end)])):
+            continue
+        if a > start:
+            yield a, end
+        try:
+            codecs.getincrementaldecoder("utf-8")().decode(_bytes_of(text[a:end]))
+        except UnicodeDecodeError as e:
+            k = bisect_right(borders, a + e.start * 4 // 3 + 2) - 1
+            if k >= 0 and borders[k] - a >= MIN_PACKED:
+                yield a, borders[k]
+
+
 def _base64_layers(layer: _Layer, seen: set) -> Iterator[_Layer]:
     for start, end in _runs(layer.text):
-        run = layer.text[start:end].replace("\r", "").replace("\n", "")
-        run = run.rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
-            continue
-        first, last = layer.origin(start, end)
-        key = (hashlib.blake2b(data, digest_size=16).digest(), "bytes", first, last)
-        if key not in seen:
-            seen.add(key)
-            for text in _texts(data):
-                if text:
-                    yield _Layer(text, [0], [first], [last], [0])
+        whole = False
+        for new in _of_bytes(layer, start, end, _bytes_of(layer.text[start:end]), seen):
+            whole = True
+            yield new
+        if not whole and "\n" not in layer.text[start:end]:
+            for a, b in _inner(layer.text, start, end):
+                yield from _of_bytes(layer, a, b, _bytes_of(layer.text[a:b]), seen)
+
+
+def _of_bytes(layer: _Layer, start: int, end: int, data: bytes, seen: set) -> Iterator[_Layer]:
+    """Layers of the bytes that a span of a layer stands for."""
+    first, last = layer.origin(start, end)
+    key = (hashlib.blake2b(data, digest_size=16).digest(), "bytes", first, last)
+    if data and key not in seen:
+        seen.add(key)
+        for text in _texts(data):
+            if text:
+                yield _Layer(text, [0], [first], [last], [0])
+
+
+def _packed_layers(layer: _Layer, seen: set) -> Iterator[_Layer]:
+    for m in _PACKED.finditer(layer.text):
+        run = m[0]
+        data = bytes.fromhex(run.replace("\\x", "")) if run[0] == "\\" else unquote_to_bytes(run)
+        yield from _of_bytes(layer, m.start(), m.end(), data, seen)
 
 
 def _decoded(layer: _Layer, seen: set) -> Iterator[_Layer]:
     """Layers that a layer decodes to, one at a time."""
     if re.search(r"[%&\\]", layer.text) and (new := _unescaped(layer)):
         yield new
+    if "%" in layer.text or "\\x" in layer.text:
+        yield from _packed_layers(layer, seen)
     yield from _base64_layers(layer, seen)
 
 
@@ -274,6 +347,14 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     found = list(base)
     known = set(base)
+    # base spans of a kind do not overlap, so their ends are in order as well
+    of_kind = {k: ([s for kind, s, _ in base if kind == k], [e for kind, _, e in base if kind == k]) for k in KINDS}
+
+    def taken(kind: str, first: int, last: int) -> bool:
+        starts, ends = of_kind[kind]
+        at = bisect_left(starts, last) - 1
+        return at >= 0 and first < ends[at]
+
     if not text:
         return base, found
     source = _Layer(text, [0], [0], [len(text)], [1])
@@ -288,8 +369,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
             for kind, a, b in base_spans(layer.text):
                 first, last = layer.origin(a, b)
                 span = (kind, first, last)
-                taken = any(k == kind and s < last and first < e for k, s, e in base)
-                if span not in known and not taken:
+                if span not in known and not taken(*span):
                     known.add(span)
                     found.append(span)
             todo.append(_decoded(layer, seen))
