@@ -8,11 +8,15 @@ maximises the likelihood of segmentations by the same recursion (forward and bac
 
 Training rows are regions of ``TRAIN_DOCS`` documents at most, ``TRAIN_REGIONS`` regions at
 most, labelled by the base patterns; the features leave out what only the patterns ask for
-(such as the leading ``+``), so that the model also finds other spellings.
-
-Defined cases: a null text counts as empty (no spans); repeated rows get equal results; an
-empty table trains nothing (the prior weights hold) and gives an empty result; further columns
-do not matter and ``redacted`` keeps them.
+(such as the leading ``+``), so that the model also finds other spellings.  Shapes of ordinary
+numbers (years, dates, decimals, thousands, series, book numbers) are features too, which the
+labels hardly show: their weights before training keep them from being taken for phones.
+
+Defined cases: a null text counts as empty (no spans); a very long text is cut into its regions one by
+one, and memory holds the longest of them; of equally good segmentations the first found stays, by
+word and then in the order of kinds; repeated rows get equal results; an empty table trains nothing
+(the prior weights hold) and gives an empty result; further columns do not matter and ``redacted``
+keeps them.
 """
 
 from __future__ import annotations
@@ -123,6 +127,45 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+# --- fixed values: words before a phone number --------------------------------------
+_CUE = re.compile(
+    r"(?i)\b(?:tel|tél|telefon|telephone|téléphone|teléfono|phone|call|mobile|mobil|móvil|portable|fax|cell|whatsapp|"
+    r"ruf|rufen|appel|appeler|appelez|llamar|llame|hotline|contact|ring|dial|sms)\b[^0-9\n]{0,12}\Z"
+)
+_NUMBER = re.compile(r"[0-9]+")
+_DATE = re.compile(
+    r"(?<![0-9])(?:(?:1[5-9]|20|21)[0-9]{2}([-./ ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])"
+    r"|(?:0?[1-9]|[12][0-9]|3[01])([-./])(?:0?[1-9]|1[0-2])\2(?:(?:1[5-9]|20|21)[0-9]{2}|[0-9]{2}))(?![0-9])"
+)
+
+
+def _book_number(digits: str) -> bool:
+    """ISBN of 13 or 10 digits, by its check digit."""
+    if len(digits) == 13 and digits[:3] in ("978", "979"):
+        return sum(int(d) * (1, 3)[k % 2] for k, d in enumerate(digits)) % 10 == 0
+    return False
+
+
+def shapes(span: str) -> list[str]:
+    """Shapes of numbers that are no phones."""
+    groups = _NUMBER.findall(span)
+    widths = [len(g) for g in groups]
+    out = []
+    if _DATE.search(span):
+        out.append("date")
+    if len(groups) > 1 and all(len(g) == 4 and g[:2] in ("15", "16", "17", "18", "19", "20", "21") for g in groups):
+        out.append("years")
+    if any(w.strip(".()-").count(".") == 1 and w.replace(".", "").strip("()-").isdigit() for w in span.split()):
+        out.append("decimal")
+    if span[:1] not in "+(0" and len(groups) > 2 and widths[0] <= 3 and set(widths[1:]) == {3}:
+        out.append("thousands")
+    if len(groups) > 2 and len(set(widths)) == 1 and (widths[0] == 1 or span[:1] not in "+(0"):
+        out.append("series")
+    if _book_number("".join(groups)):
+        out.append("book number")
+    return out
+
+
 def features(span: str, words: int) -> list[str]:
     """What a whole candidate span looks like."""
     digits = _digits(span)
@@ -145,6 +188,7 @@ def features(span: str, words: int) -> list[str]:
         out.append("luhn" if luhn(digits) else "not luhn")
     if n >= 8 and marks and not marks - set(" ().-") and "letters" not in out:
         out.append("grouped digits")
+        out += shapes(span)
     if "(" in marks or ")" in marks:
         out.append("brackets")
     if marks - set(" ().-@_%"):
@@ -159,7 +203,9 @@ PRIOR: Weights = {
     "email": {"bias": -3.0, "at and domain": 6.0, "words=1": 1.0},
     "ip": {"bias": -3.0, "four parts": 6.0, "large parts": -3.0},
     "card": {"bias": -3.0, "luhn": 6.0, "not luhn": -3.0},
-    "phone": {"bias": -3.0, "grouped digits": 3.0, "digits=10-15": 2.0, "brackets": 1.0, "goes on": -1.5},
+    "phone": {"bias": -3.0, "grouped digits": 3.0, "digits=10-15": 2.0, "brackets": 1.0, "goes on": -1.5,
+              "cue": 4.0, "date": -12.0, "years": -12.0, "decimal": -12.0, "book number": -12.0,
+              "thousands": -8.0, "series": -8.0},
 }
 
 
@@ -192,6 +238,8 @@ def _candidates_from(text: str, words: list[tuple[int, int]], i: int) -> Iterato
             feats = features(text[start:end], j - i)
             if _goes_on(text, words, i, j, start, end):
                 feats.append("goes on")
+            if "grouped digits" in feats and _CUE.search(text, max(0, start - 32), start):
+                feats.append("cue")
             yield _Candidate(i, j, start, end, feats)
 
 
