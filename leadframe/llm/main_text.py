@@ -4,10 +4,12 @@ A page becomes a list of words and tags.  Words score by the element they stand
 their name; weights are log odds counted on labelled pages (those that mark their text with an
 ``article`` or ``main`` element), words positive and tags negative unless the labelled pages
 say that an element never holds text.  One linear scan finds the run with the highest sum; its
-blocks, without those in menus, forms and the like, are the text.
+blocks, without those in menus, forms and the like, are the text.  If most of its words stand in
+one article, that whole article is.
 
 Defined cases: a null or empty page, and one without a positive run, has an empty text; ties go
-to the earliest and then shortest run; repeated rows get equal results; an empty table trains
+to the earliest and then shortest run; a very long page is read whole, one task holds its words
+and tags; unknown elements weigh alike; repeated rows get equal results; an empty table trains
 nothing (the prior holds) and gives an empty result; further columns do not matter.
 """
 
@@ -42,6 +44,14 @@ CLOSES_P = BLOCK - frozenset("body caption dd dt head html li summary tbody td t
 SIBLINGS = {t: frozenset(g) for g in (["li"], ["dt", "dd"], ["tr"], ["td", "th"], ["option"]) for t in g}
 _P, _LISTS = frozenset(["p"]), frozenset("ul ol dl table menu select".split())
 HOLDERS = frozenset("article main".split())
+_INLINE = frozenset(
+    "a abbr b bdi bdo big center cite code del dfn em font i ins kbd mark s samp small span strike strong sub "
+    "sup time tt u var data slot ruby rp rt picture video audio canvas object map output progress meter "
+    "button label select option optgroup datalist legend search hgroup tbody frame frameset".split()
+)
+#: Elements with a weight of their own; all others share one.
+KNOWN = VOID | RAW | BLOCK | _INLINE
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Elements that never hold the main text.
 SIDE = frozenset("nav aside footer form button select option dialog menu head label fieldset figcaption".split())
 #: Of these, what belongs to the text that an article or main element holds.
@@ -55,9 +65,12 @@ SIDE_NAMES = frozenset(
     "complementary contentinfo alert alertdialog toolbar".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*|/?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
+# quotes count right after an equals sign only; elsewhere they are characters like others
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*|/?[a-zA-Z](?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>?", re.S
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -69,12 +82,21 @@ COMMENT_NAMES = frozenset(
 OTHER_SENSE = frozenset("with has no without post entry article story page content main".split())
 
 
-def side_names(tag: str) -> set[str]:
-    """Names in class, id and role that mark an element as beside the text."""
+def side_names(tag: str, name: str, inside: bool) -> set[str]:
+    """Names in class, id and role that mark an element as beside the text.
+
+    Inside an article or main element an id is mostly the target of a link: it counts there as a
+    whole, for comments and adverts, and never on headings and paragraphs.
+    """
     found = set()
     for m in _MARKS.finditer(tag):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            words = [w for w in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if w]
+        value = m[2] or m[3] or m[4] or ""
+        if inside and m[1].lower() == "id":
+            if name not in HEADINGS and value.lower() in COMMENT_NAMES:
+                found.add(value.lower())
+            continue
+        for part in value.split():
+            words = [w for w in _SPLIT.split(_CAMEL.sub(" ", part).lower()) if w]
             found |= {w for before, w in zip(["", *words], words)
                       if w in SIDE_NAMES and before not in OTHER_SENSE}
     return found
@@ -83,11 +105,11 @@ def side_names(tag: str) -> set[str]:
 class Item:
     """A text piece or a tag of a page, in order."""
 
-    __slots__ = ("text", "key", "words", "side", "inside", "block")
+    __slots__ = ("text", "key", "words", "side", "inside", "block", "article")
 
-    def __init__(self, text, key, words, side, inside, block):
+    def __init__(self, text, key, words, side, inside, block, article):
         self.text, self.key, self.words = text, key, words
-        self.side, self.inside, self.block = side, inside, block
+        self.side, self.inside, self.block, self.article = side, inside, block, article
 
 
 class _Open:
@@ -98,6 +120,7 @@ class _Open:
         self.names: Counter = Counter()
         self.side = self.blocks = 0
         self.holding = [0, 0, 0]  # open elements by what they hold
+        self.articles = 0  # outermost articles so far
 
     @property
     def inside(self) -> int:
@@ -107,8 +130,14 @@ class _Open:
         self.stack.append((name, side, holds))
         self.names[name] += 1
         self.side += side
+        self.articles += holds == 2 and not self.holding[2]
         self.holding[holds] += 1
 
+    @property
+    def article(self) -> int:
+        """Number of the outermost open article, 0 if there is none."""
+        return self.articles if self.holding[2] else 0
+
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             name, side, holds = self.stack.pop()
@@ -142,11 +171,12 @@ def items(page: str) -> list[Item]:
 
     def add_text(text: str) -> None:
         inner = open_.stack[-1][0] if open_.stack else ""
-        key = "side" if open_.side else "text" if open_.inside else f"in {inner}"
-        out.append(Item(text, key, len(text.split()), open_.side > 0, open_.inside, open_.blocks))
+        key = "side" if open_.side else "text" if open_.inside else f"in {inner if inner in KNOWN else 'other'}"
+        out.append(Item(text, key, len(text.split()), open_.side > 0, open_.inside, open_.blocks, open_.article))
 
     def add_tag(key: str) -> None:
-        out.append(Item(None, key, 0, open_.side > 0, open_.inside, open_.blocks))
+        key = key if key in KNOWN or key == "side" else "other"
+        out.append(Item(None, key, 0, open_.side > 0, open_.inside, open_.blocks, open_.article))
 
     while done < end:
         m = _TOKEN.search(page, done)
@@ -172,7 +202,7 @@ def items(page: str) -> list[Item]:
             open_.close(SIBLINGS[name], _LISTS)
         open_.blocks += name in BLOCK
         holds = 2 if name == "article" or "articleBody" in tag else int(name == "main" or 'role="main"' in tag)
-        names = side_names(tag)
+        names = side_names(tag, name, open_.inside > 0)
         if name in HOLDERS:
             # an article of comments or adverts within or beside the one of the page
             side = bool(names & COMMENT_NAMES)
@@ -258,8 +288,9 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: Weights) -> str:
     """Blocks of the best run, without those beside the text, joined by an empty line.
 
-    The run is widened to whole blocks, so a weak word at a block's border is not lost.  Only
-    what an article or main element holds is kept if most of the run's words stand in one.
+    The run is widened to whole blocks, so a weak word at a block's border is not lost, and to the
+    whole article if most of its words stand in one, so tags inside it cut nothing off.  Only
+    what an article or main element holds is kept if most of the run's words stand in such.
     """
     seen = items(page)
     start, end = best_run([score(i, weights) for i in seen])
@@ -267,12 +298,16 @@ def main_text(page: str, weights: Weights) -> str:
         return ""
     first, last = seen[start].block, seen[end - 1].block
     words = [0, 0, 0]
+    articles: Counter = Counter()
     for i in seen[start:end]:
         words[i.inside] += 0 if i.side else i.words
+        articles[i.article] += 0 if i.side else i.words
     level = max(k for k in range(3) if 2 * sum(words[k:]) > sum(words))
+    article = next((a for a, n in articles.items() if a and 2 * n > sum(words)), 0)
     blocks: dict[int, list[str]] = {}
     for i in seen:
-        if i.text is not None and first <= i.block <= last and not i.side and i.inside >= level:
+        within = i.article == article if article else first <= i.block <= last and i.inside >= level
+        if i.text is not None and within and not i.side:
             blocks.setdefault(i.block, []).append(i.text)
     texts = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n\n".join(t for t in texts if t)
@@ -295,11 +330,10 @@ def fit(pages: DataFrame, html: str = "html") -> Weights:
             [{"key": k, "inside": bool(i), "n": n} for (k, i), n in count(p).items()] for p in batch
         ], dtype=object)
 
-    # at most TRAIN_PAGES ids are broadcast; one row per kind of word or tag comes back
+    # at most TRAIN_PAGES ids are broadcast; one row per known element, word or tag, comes back
     sample = pages.select("page_id", text_of(html).alias("h")).join(F.broadcast(ids), "page_id", "left_semi")
     rows = sample.select(F.explode(counted("h")).alias("c")).groupBy("c.key", "c.inside").agg(F.sum("c.n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "key", "inside").limit(10_000).collect()
-    return weights_from(Counter({(r["key"], r["inside"]): r["n"] for r in top}))
+    return weights_from(Counter({(r["key"], r["inside"]): r["n"] for r in rows.collect()}))
 
 
 def extracted(pages: DataFrame, weights: Weights | None = None, html: str = "html") -> DataFrame:
