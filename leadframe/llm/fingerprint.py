@@ -10,9 +10,10 @@ other.
 
 Defined cases: a null text counts as empty and has the fingerprint ``3::``; equal fingerprints
 are alike to 1.0 (empty ones included); signatures without a common run of ``COMMON``
-characters, and fingerprints of incompatible block sizes, are alike to 0.0; rows with one id
-follow each other by text; a table with one row has itself as its next; an empty table gives
-an empty result; further columns do not matter.
+characters, and fingerprints of incompatible block sizes, are alike to 0.0; rows with one id, or
+none, follow each other by a hash of their text, then the text; a table with one row has itself as
+its next; a very long text is held in memory with the one after it; an empty table gives an empty
+result; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -130,37 +131,58 @@ def edited(text: str, following: str) -> str:
 
 # --- Spark -------------------------------------------------------------------------------
 
-#: Rows of a range of ids, on average.
-RANGE_ROWS = 2000
+#: Rows of a range, on average; ranges at most, apart from those that single ids are cut in.
+RANGE_ROWS, RANGES = 2000, 20_000
+#: Bits of a text's hash.
+_HASH_BITS = 46
 
 
-def _ranges(docs: DataFrame) -> tuple[list[int], list[int]]:
-    """Upper ends of id ranges of similar size, and the highest id of each; both descending.
+class _Cuts:
+    """Ranges in the order of rows: by descending id, and by hash within an id of many rows."""
+
+    def __init__(self, ends: list[int], parts: dict[int, int]):
+        """``ends``: highest id of each range; ``parts``: how many ranges a single id is cut in."""
+        self.rising = np.array(sorted(ends), dtype=np.int64)
+        self.parts = np.array([parts.get(e, 1) for e in self.rising.tolist()], dtype=np.int64)
+        after = np.cumsum(self.parts[::-1])[::-1]
+        self.first = after - self.parts  # ranges of higher ids come first
+
+    def index(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.rising, ids)
+        return self.first[at] + (hashes * self.parts[at] >> _HASH_BITS)
+
+
+def _cuts(rows: DataFrame) -> _Cuts | None:
+    """Ranges of similar size for rows (key, hash); None without rows.
 
     Only as many numbers as there are ranges come to the driver.
     """
-    n = docs.count()
-    parts = max(1, min(n // RANGE_ROWS, 20_000))
+    n = rows.count()
+    if not n:
+        return None
+    size = max(RANGE_ROWS, n // RANGES)
+    parts = max(1, n // size)
     cuts = [k / parts for k in range(1, parts + 1)]
-    got = docs.agg(F.percentile_approx("doc_id", cuts, 10 * parts).alias("q")).first()["q"] or []
-    bounds = sorted(set(got), reverse=True)
-    if not bounds:
-        return [], []
-    index = _range_index(bounds)
-    heads = docs.where("doc_id IS NOT NULL").groupBy(index("doc_id").alias("part")).agg(F.max("doc_id").alias("head"))
-    return bounds, [r["head"] for r in heads.orderBy("part").collect()]
+    ends = set(rows.agg(F.percentile_approx("key", cuts, 10 * parts).alias("q")).first()["q"])
+    ends.add(rows.agg(F.max("key")).first()[0])
+    # an id of more rows than a range has ranges of its own: at most as many ids as ranges
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > size).collect()
+    for r in hot:
+        ends |= {r["key"]} | ({r["key"] - 1} if r["key"] > LOWEST else set())
+    return _Cuts(sorted(ends), {r["key"]: -(-r["n"] // size) for r in hot})
 
 
-def _range_index(bounds: list[int]):
-    rising = np.array(bounds[::-1], dtype=np.int64)
-
+def _index(cuts: _Cuts):
     @F.pandas_udf("long")
-    def index(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(rising) - 1 - np.searchsorted(rising, ids.to_numpy(np.int64)))
+    def index(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(cuts.index(ids.to_numpy(np.int64), hashes.to_numpy(np.int64)))
 
     return index
 
 
+#: Stands for a null id: the last of the order.
+LOWEST = -(2**63)
+
 COLUMNS = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
     "edited_fingerprint string, near_edited double, near_next double"
@@ -170,29 +192,35 @@ COLUMNS = (
 def compared(docs: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
-    One shuffle: rows go by ranges of ids, and the first row of each range goes to the
-    range before it too, where it serves as the next document of the last row.
-    A null id counts as the lowest.
+    One shuffle: rows go by ranges of ids, and within an id of many rows by hash; the first row of
+    each range goes to the range before it too, where it serves as the next document of the last
+    row.  A null id counts as the lowest.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), text_of(text).alias("text"))
-    lowest = -(2**63)
-    ids = rows.select(F.coalesce("doc_id", F.lit(lowest)).alias("doc_id"))
-    bounds, heads = _ranges(ids)
-    if not bounds:
-        return docs.sparkSession.createDataFrame([], COLUMNS)
-    index, last = _range_index(bounds), len(heads) - 1
-    keyed = rows.withColumn("key", F.coalesce("doc_id", F.lit(lowest))).withColumn("part", index("key"))
-    # a range's first row is also ahead of the range before; the very first one ends the last range
-    is_head = F.col("key").isin(heads)
-    ahead = keyed.where(is_head).withColumns({
-        "part": F.when(F.col("part") == 0, F.lit(last)).otherwise(F.col("part") - 1),
-        "ahead": F.lit(1),
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long"), text_of(text).alias("text")).withColumns({
+        "key": F.coalesce("doc_id", F.lit(LOWEST)),
+        "hash": F.shiftrightunsigned(F.xxhash64("text"), 64 - _HASH_BITS),
     })
+    cuts = _cuts(rows.select("key", "hash"))
+    if cuts is None:
+        return spark.createDataFrame([], COLUMNS)
+    rows = rows.withColumn("part", _index(cuts)("key", "hash"))
+    order = F.struct(F.bitwise_not("key").alias("r"), "hash")
+    heads = rows.groupBy("part").agg(F.min(order).alias("h")).orderBy("part").collect()  # one row a range
+    filled = [r["part"] for r in heads]
+    # a range's first row is also ahead of the range before; the very first one ends the last range
+    before = [filled[k - 1] for k in range(len(heads))]
+    first = spark.createDataFrame(
+        [(~r["h"]["r"], r["h"]["hash"], b) for r, b in zip(heads, before)], "key long, hash long, part long")
+    ahead = rows.drop("part").join(F.broadcast(first), ["key", "hash"])
+    ahead = ahead.groupBy("part", "key", "hash").agg(F.min("text").alias("text")).select(
+        "part", F.lit(1).alias("ahead"), F.col("key").alias("doc_id"), "key", "hash", "text")
+    last = filled[-1]
     dealt = (
-        keyed.withColumn("ahead", F.lit(0)).unionByName(ahead)
-        .repartition(len(heads), "part")
-        .sortWithinPartitions("part", "ahead", F.desc("key"), "text")
+        rows.select("part", F.lit(0).alias("ahead"), "doc_id", "key", "hash", "text").unionByName(ahead)
+        .repartitionById(last + 1, F.col("part").cast("int"))
+        .sortWithinPartitions("part", "ahead", F.desc("key"), "hash", "text")
     )
     return dealt.select("part", "ahead", "doc_id", "text").mapInPandas(_compare_rows, COLUMNS)
 
