@@ -35,8 +35,8 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; it forgets all when there are more.
 REMEMBERED = 1_000_000
-#: Parts each length is ranked in, so no length is sorted in one task.
-SALTS = 256
+#: Pieces of a length that are ranked in one part, about; all full windows have one length.
+PART_ROWS = 50_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -217,9 +217,16 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[Step]:
     return steps
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """The rank of each piece among those of its length, without sorting a length whole."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
+def _ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """The rank of each piece among those of its length, without sorting a length whole.
+
+    A length is dealt in as many parts as it needs for about ``PART_ROWS`` pieces in each.
+    """
+    # one row per length: at most ``window`` rows
+    parts = [(length, -(-n // PART_ROWS)) for length, n in sorted(counts.items())]
+    table = pieces.sparkSession.createDataFrame(parts, "length long, _parts long")
+    mixed = F.xxhash64("doc_id", "start", "ids_crc32")
+    salted = pieces.join(F.broadcast(table), "length").withColumn("_salt", F.pmod(mixed, F.col("_parts")))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -250,7 +257,7 @@ def placed(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
             "offset": step[:, 3] + nth % step[:, 4] * step[:, 0],
         })
 
-    return _ranked(pieces).select(
+    return _ranked(pieces, counts).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", place("length", "rank").alias("p")
     ).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "p.sequence_id", "p.offset")
 
