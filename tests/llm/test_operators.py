@@ -454,29 +454,69 @@ def brute_join(texts, threshold=0.8):
     return {d: (find(d), links[d]) for d in sets}
 
 
+def brute_sets(texts):
+    words = {d: [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x] for d, t in texts.items()}
+    return {d: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+            for d, w in words.items()}
+
+
+def check_join(texts, got, threshold=0.8):
+    """Classes, stars and pairs of representatives hold all links of brute force and no other."""
+    sets, want = brute_sets(texts), brute_join(texts)
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    assert {r["doc_id"]: r["class_id"] for r in got} == {d: c for d, (c, _) in want.items()}
+    star = {r["doc_id"]: r["star_id"] for r in got}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9
+    for d, s in star.items():
+        assert star[s] == s and (d == s or alike(d, s))
+    pairs = set()
+    index = defaultdict(set)
+    for d, grams in sets.items():
+        for g in grams:
+            index[g].add(d)
+    for d, grams in sets.items():
+        shared = Counter(e for g in grams for e in index[g] if e > d and star[e] != star[d])
+        pairs |= {frozenset((star[d], star[e])) for e in shared if alike(d, e)}
+    linked = {r["doc_id"]: r["linked"] for r in got}
+    assert all((v is not None) == (star[d] == d) for d, v in linked.items())
+    assert {frozenset((d, e)) for d, v in linked.items() for e in v or []} == pairs
+    assert sum(len(v or []) for v in linked.values()) == 2 * len(pairs)
+
+
 def test_join_against_brute_force(spark, texts):
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op9_ngram_join"](spark, SF).collect()}
-    assert got == brute_join(texts)
+    check_join(texts, QUERIES["op9_ngram_join"](spark, SF).collect())
 
 
-def test_join_of_a_large_group_of_near_copies(spark):
-    rng = random.Random(11)
+def near_copies(n, edits, seed, extra=60):
+    rng = random.Random(seed)
     base = [f"w{rng.randint(0, 9999)}" for _ in range(150)]
     made = {}
-    for d in range(700):
+    for d in range(n):
         words = list(base)
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, edits)):
             words[rng.randrange(len(words))] = f"v{rng.randint(0, 10**6)}"
         made[d] = " ".join(words)
-    made |= {700 + d: " ".join(base[:40] + [f"u{d}x{k}" for k in range(80)]) for d in range(60)}
+    return made | {n + d: " ".join(base[:40] + [f"u{d}x{k}" for k in range(80)]) for d in range(extra)}
+
+
+@pytest.mark.parametrize("edits", [3, 9])
+def test_join_of_a_large_group_of_near_copies(spark, edits):
+    """A few edits, where most texts are linked, and many, where most are not."""
+    made = near_copies(700, edits, 11)
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.joined(df).collect()}
-    want = brute_join(made)
-    assert {d: c for d, (c, _) in got.items()} == {d: c for d, (c, _) in want.items()}
-    total = sum(n for _, n in want.values())
-    assert total * 0.9999 <= sum(n for _, n in got.values()) <= total
+    check_join(made, ngram_join.joined(df).collect())
     kept = ngram_join.one_per_class(df).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted({c for c, _ in want.values()})
+    assert sorted(r["doc_id"] for r in kept) == sorted({c for c, _ in brute_join(made).values()})
+
+
+def test_join_with_small_blocks_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 4)
+    monkeypatch.setattr(ngram_join, "NEAREST", 1)
+    monkeypatch.setattr(ngram_join, "HOT", 50)
+    made = near_copies(200, 6, 12) | {1000 + d: t for d, t in near_copies(150, 2, 13, 0).items()}
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    check_join(made, ngram_join.joined(df).collect())
 
 
 def test_one_per_class_with_null_and_repeated_ids(spark):
