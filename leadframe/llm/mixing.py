@@ -13,7 +13,9 @@ weighs documents by their tokens, the squared operator is a stochastic matrix: i
 eigenvalues are at most 1, and steps of length 1 converge.
 
 Defined cases: a null or empty text has no words, the prior as posterior and no influence; equal
-texts get equal rates; a domain without any expected tokens cannot be reached and is left out;
+texts get equal rates, however often they stand; a very long text is one document, its words weigh
+``EVIDENCE`` at most; a domain with hardly any expected tokens (``REACH``) cannot be reached and is left out; a
+language that is no domain has the posterior its words give, so it counts to the domains most like it;
 without labelled rows all domains are equally likely; an empty table gives an empty result;
 further columns of the input stay.
 """
@@ -36,6 +38,10 @@ TARGETS = {"de": 0.14, "en": 0.60, "es": 0.11, "fr": 0.14, "junk": 0.01}
 TRAIN_DOCS, BUCKETS, EVIDENCE = 4000, 4096, 40
 #: Steps at most, and the relative error at which they end.
 STEPS, EXACT = 40, 1e-6
+#: Share of all tokens below which a domain is out of reach: none of its documents is there.
+REACH = 1e-4
+#: Most tokens of a mix that keeps all documents, as a multiple of the tokens there are.
+GROWTH = 2.0
 
 
 def domains_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -97,40 +103,60 @@ def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> D
     ).drop("_scores", "_e", "_sum")
 
 
-def _rate(steps: list[list[float]]) -> Column:
-    """Rate after these steps: each subtracts the posterior's share of the errors."""
+def _rate(steps: list[list[float]], least: float = 0.0) -> Column:
+    """Rate after these steps: each subtracts the posterior's share of the errors, down to ``least``."""
     rate = F.lit(1.0)
     for errors in steps:
         move = reduce(Column.__add__, [F.get("_p", F.lit(d)) * e for d, e in enumerate(errors)])
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(least), rate - move)
     return rate
 
 
+def grown(have: list[float], goal: list[float], growth: float = GROWTH) -> list[float]:
+    """Totals at least ``have``, and in the goal's proportions as far as ``growth`` allows.
+
+    The goal is scaled up until the domain that would shrink most keeps its tokens; if that is more
+    than ``growth`` times all tokens, domains are raised to the highest common multiple of the goal
+    that is not, and those above it stay as they are.
+    """
+    level = max((m / g for m, g in zip(have, goal) if g > 0), default=1.0)
+    raised = lambda x: [max(m, x * g) for m, g in zip(have, goal)]
+    budget = growth * sum(have)
+    if sum(raised(level)) > budget:
+        low, high = 0.0, level
+        for _ in range(60):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(raised(level)) <= budget else (low, level)
+        level = low
+    return raised(level)
+
+
 def fitted_steps(soft: DataFrame, targets: list[float], keep_all: bool = False) -> list[list[float]]:
     """Projected gradient steps that bring the expected totals to the target shares.
 
-    The target total is that of the table; with ``keep_all`` it grows until the domain that
-    shrinks most keeps its tokens, so that no rate need fall below 1.
+    The target total is that of the table; with ``keep_all`` no rate falls below 1, and the totals
+    are those of ``grown``.
     """
+    least = 1.0 if keep_all else 0.0
+
     def totals(rate: Column) -> list[float]:
         sums = [F.sum(F.get("_p", F.lit(d)) * F.col("_tokens") * rate).alias(f"s{d}") for d in range(len(targets))]
         return [x or 0.0 for x in soft.agg(*sums).first()]
 
     have = totals(F.lit(1.0))
-    reachable = [m > 0 for m in have]
+    reachable = [m > REACH * sum(have) for m in have]
     share = sum(t for t, r in zip(targets, reachable) if r) or 1.0
     goal = [sum(have) * t / share * r for t, r in zip(targets, reachable)]
     if keep_all:
-        most = max((m / g for m, g in zip(have, goal) if g > 0), default=1.0)
-        goal = [g * max(1.0, most) for g in goal]
+        goal = grown(have, goal)
     steps: list[list[float]] = []
     now = have
     for _ in range(STEPS):
-        errors = [(n - g) / m if m > 0 else 0.0 for n, g, m in zip(now, goal, have)]
+        errors = [(n - g) / m if r else 0.0 for n, g, m, r in zip(now, goal, have, reachable)]
         if max(map(abs, errors), default=0.0) < EXACT:
             break
         steps.append(errors)
-        now = totals(_rate(steps))
+        now = totals(_rate(steps, least))
     return steps
 
 
@@ -150,7 +176,7 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, text: str = "text") -> DataFrame:
     """``docs`` in the fitted mix, nothing lost: each row as often as its rate says, once at least.
 
-    Targets are scaled up until no domain has to shrink (``keep_all``).  The part of a rate after
+    The result has about ``GROWTH`` times the tokens of ``docs`` at most.  The part of a rate after
     the point becomes one more copy with that chance, drawn from a hash of the text.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -159,5 +185,5 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     soft = _soft(inner, labelled, targets, at, names)
     steps = fitted_steps(soft, list(targets.values()), keep_all=True)
     chance = F.pmod(F.xxhash64(F.lit(11), F.col(at)), F.lit(1 << 20)) / float(1 << 20)
-    copies = F.greatest(F.lit(1), F.floor(_rate(steps) + chance)).cast("int")
+    copies = F.greatest(F.lit(1), F.floor(_rate(steps, 1.0) + chance)).cast("int")
     return soft.withColumn("_k", F.explode(F.sequence(F.lit(1), copies))).select(*names).toDF(*docs.columns)
