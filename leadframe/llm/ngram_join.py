@@ -8,28 +8,22 @@ Nodes with few sets are compared by brute force, larger ones are split further,
 in some run reaches ``RECALL``.  The recursion sees a consistent sample of each set's tokens
 (``SAMPLE`` on average), the comparison all of them.
 
-Each set that meets another has a home, its largest node; homes are cut into blocks by the number
-of sets at home there.  Near copies stay together on all paths, so a large home is not compared
-pair by pair: in rounds, a few of its sets become pivots, all others are compared with them, and
-what reaches the threshold with a pivot joins its star if that grows larger than a block.  The other
-sets form blocks of bounded size; each is compared by brute force and cut into stars as well.
-
-The result is membership and pairs of representatives: every row has its star (its text reaches
-the threshold with the star's own text), the representative of a star lists the stars that hold
-a text linked to one of its texts, and classes are the components.  Links inside a star are not
-listed, as that takes one comparison per pair of a group.
-
-Two blocks that share a node are compared set by set, so ``n`` sets that are near, but mostly below
-the threshold, still cost ``n / BLOCK_SETS`` rows each.  With a large star it is other: Jaccard
-distance is a metric, so only members within twice the distance limit of the other star's pivot
-can be linked across.  The nearest ones of both sides are compared first; only pairs of stars that
-are still open compare all of these members, in blocks.  Samples filter, whole sets decide
-(``SKETCH``, five standard deviations).  No pair of sets leaves a task, only pairs of stars.
+Each set that meets another has a home, its largest node, and a room, the largest home of those it
+meets; rooms are cut into blocks by the number of their sets.  A block is compared with itself, and
+with each other block it shares a node with; there, only the sets that share one take part.  Samples
+decide which sets are near, whole sets which pairs reach the threshold.
+
+The result is one row per row of the input with its class and its number of links to all others.
+Besides, a block's sets are cut into stars: the text of each row reaches the threshold with the
+star's own text, and the representative of a star lists the stars that hold a text linked to one of
+its texts.  Classes are the components.
+
+The links of a group of ``n`` near texts take ``n * n / 2`` comparisons by their nature.  They run in
+matrix products of a block's size, dealt by pairs of blocks; Spark sees ``n / BLOCK_SETS`` rows a set.
 
 Defined cases: null and empty texts, and those of white space, have no 5-grams: a class and a star
 of their own without links; texts of fewer than five words have one token, all their words; texts
-with equal words are copies, one set; repeated rows are copies too; a set joins the pivot most
-similar to it, the first by its bytes among equals; a null id never becomes a class id or star id
+with equal words are copies, one set; repeated rows are copies too; a null id never becomes a class id or star id
 unless all its rows are null; very long texts are one set like any other; an empty table gives
 an empty result; further columns do not matter.
 """
@@ -42,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadframe.llm.common import small_batches, text_of
@@ -56,9 +50,7 @@ SAMPLE = 96
 #: Share of the larger sample that two samples must have in common to be compared in full.
 SKETCH = 0.6
 #: Sets and tokens of a block.
-BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 18
-#: Rounds of pivots, pivots of a round (about), members of two open stars that are compared first.
-ROUNDS, PIVOTS, NEAREST = 4, 16, 16
+BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 18
 #: Rows of a key above which they are dealt in ``SALTS`` parts.
 HOT, SALTS = 4096, 16
 
@@ -240,24 +232,23 @@ def _sid(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sid", F.xxhash64("set_id"))
 
 
-def _homes(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """Sets that meet others: their home, the number ``k`` of sets at home there, and their room.
+def _hot_nodes(met: DataFrame) -> DataFrame:
+    return cut_lineage(met.where(F.col("size") > HOT).select("node").distinct())
+
+
+def _homes(met: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """Sets that meet others: their room and the number ``k`` of sets in it.
 
-    The room decides who shares a block.  It is the home; for sets of a small home that meet sets of
-    large ones, it is that of the largest, so that the stragglers of a group fill few blocks.
+    The room decides who shares a block.  It is the home with most sets among those of all sets it
+    meets, so that the stragglers of a group fill few blocks.
     """
     homes = met.groupBy("sid").agg(F.max(F.struct("size", "node")).alias("h"))
-    own = homes.join(_sid(sets.select("set_id", "n", "first_key", "sample")), "sid")
-    own = cut_lineage(own.select("set_id", F.col("h.node").alias("home"), "n", "first_key", "sample"))
+    own = homes.join(_sid(sets.select("set_id", "n", "first_key", "sample", "copies")), "sid")
+    own = cut_lineage(own.select("sid", "set_id", F.col("h.node").alias("home"), "n", "first_key", "sample", "copies"))
     own = cut_lineage(_counted(own, "home", "k"))
-    large = F.col("k") > BLOCK_SETS
-    if own.where(large).isEmpty():
-        return own.withColumn("room", F.col("home"))
-    of = met.join(_sid(own.where(large).select("set_id", "home", "k")), "sid")
-    of = of.groupBy("node").agg(F.max(F.struct("k", "home")).alias("largest"))
-    beside = met.join(_sid(own.where(~large).select("set_id")), "sid").join(of, "node")
-    beside = beside.groupBy("set_id").agg(F.xxhash64(F.max("largest")["home"]).alias("room"))
-    return cut_lineage(own.join(beside, "set_id", "left").withColumn("room", F.coalesce("room", "home")))
+    of = met.join(own.select("sid", "home", "k"), "sid").groupBy("node").agg(F.max(F.struct("k", "home")).alias("largest"))
+    room = _by_key(met, cut_lineage(of), "node", hot, "sid").groupBy("sid").agg(F.max("largest")["home"].alias("room"))
+    return _counted(cut_lineage(own.drop("home", "k").join(room, "sid").drop("sid")), "room", "k")
 
 
 def _blocks(homes: DataFrame) -> DataFrame:
@@ -272,28 +263,25 @@ def _blocks(homes: DataFrame) -> DataFrame:
     return cut_lineage(_counted(rows, "room", "k").withColumn("block", F.xxhash64("room", part)).drop("room", "per", "k"))
 
 
-def _unit_pairs(met: DataFrame, units: DataFrame, second: str = "true") -> DataFrame:
-    """Pairs of units (a, b) that share a node, a < b; ``second`` says which may be b, then in any order."""
-    by_node = met.join(_sid(units), "sid").groupBy("node", "unit").agg(F.first("big").alias("big"))
-    several = by_node.groupBy("node").agg(F.count("*").alias("k")).where("k > 1").select("node")
-    several = cut_lineage(by_node.join(several, "node"))
-    order = F.col("x.unit") < F.col("y.unit") if second == "true" else F.col("x.unit") != F.col("y.unit")
-    return several.alias("x").join(several.where(second).alias("y"), "node").where(order).select(
-        F.col("x.unit").alias("a"), F.col("y.unit").alias("b")
-    ).distinct()
-
-
-def _cells(pairs: DataFrame) -> DataFrame:
-    """Both sides of each pair of blocks: (cell, block, side)."""
-    sides = F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")),
-                    F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
-    return pairs.select(F.xxhash64("a", "b").alias("cell"), F.inline(sides))
-
+def _cells(met: DataFrame, blocks: DataFrame, hot: DataFrame) -> DataFrame:
+    """Sets to compare: (cell, side, set_id).
 
-def _own_cells(blocks: DataFrame) -> DataFrame:
-    """Blocks of two sets at least, as cells of one side."""
-    several = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1")
-    return several.select(F.xxhash64("block", "block").alias("cell"), "block", F.lit(0).alias("side"))
+    A cell of two blocks holds the sets of each that share a node with one of the other; a block of
+    several sets is a cell of one side.
+    """
+    rows = met.join(_sid(blocks.select("set_id", "block")), "sid").select("node", "set_id", "block")
+    rows = cut_lineage(rows)
+    there = rows.groupBy("node").agg(F.sort_array(F.collect_set("block")).alias("blocks")).where(F.size("blocks") > 1)
+    # a group meets at many nodes with the same blocks
+    meets = _by_key(rows, cut_lineage(there), "node", hot).select("set_id", "block", "blocks").distinct()
+    meets = meets.select("set_id", "block", F.explode("blocks").alias("other")).where("block <> other").distinct()
+    across = meets.select(
+        F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "set_id",
+    )
+    several = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
+    own = blocks.join(several, "block").select(F.xxhash64("block", "block").alias("cell"), F.lit(0).alias("side"), "set_id")
+    return cut_lineage(across.unionByName(own))
 
 
 # --- comparison --------------------------------------------------------------------------------
@@ -339,18 +327,8 @@ def near_samples(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold: by samples first, then by exact counts."""
-    a, b = ([sampled(sample(x)) for x in side] for side in (left, right))
-    near = near_samples(a, b)
-    if left is right:
-        np.fill_diagonal(near, False)
-    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-    hit = np.zeros(near.shape, bool)
-    if len(rows):
-        hit[np.ix_(rows, columns)] = reaches(*similar([left[k] for k in rows], [right[k] for k in columns]), threshold)
-    if left is right:
-        np.fill_diagonal(hit, True)
-    return hit
+    """Which pairs reach the threshold, by exact counts."""
+    return reaches(*similar(left, right), threshold)
 
 
 def _by_cell(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
@@ -384,7 +362,7 @@ def _in_parts(found: Iterator[list], names: list[str], size: int = 2000) -> Iter
     yield pd.DataFrame(out, columns=names)
 
 
-NEAR = "cell long, side int, set_id binary"
+NEAR = "cell long, side int, set_id binary, same boolean"
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,40 +374,50 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if same:
             np.fill_diagonal(hit, False)
         near = {i for i, h in zip(left, hit.any(1)) if h} | {i for i, h in zip(right, hit.any(0)) if h}
-        return [(cell, rows[i][0], i) for i in near]
+        return [(cell, rows[i][0], i, same) for i in near]
+
+    return _in_parts((found(c, r) for c, r in _by_cell(batches, ["side", "sample"])), ["cell", "side", "set_id", "same"])
+
 
-    return _in_parts((found(c, r) for c, r in _by_cell(batches, ["side", "sample"])), ["cell", "side", "set_id"])
+#: A set's star and the rows of the sets linked to it; or a pair of linked stars.
+FOUND = "set_id binary, star binary, other binary, links long"
 
 
-PAIRS = "star binary, other binary"
+def _links(names: list[bytes], hit: np.ndarray, copies: list[int]) -> list[tuple]:
+    """How many rows the sets linked to each set have, for the sets that have any."""
+    return [(i, None, None, n) for i, n in zip(names, (hit @ np.array(copies, np.int64)).tolist()) if n]
 
 
 def _star_pairs(threshold: float):
-    """Stars with a link between the two sides of a cell."""
+    """Links between the two sides of a cell."""
 
     def found(rows: dict[bytes, list]) -> list:
-        left, right, same = _sides(rows)
-        if same:
-            return []
+        left, right, _ = _sides(rows)
         hit = linked(*([np.frombuffer(rows[i][2], _U) for i in side] for side in (left, right)), threshold)
         pairs = {(rows[left[a]][1], rows[right[b]][1]) for a, b in zip(*np.nonzero(hit))}
-        return sorted((min(p), max(p)) for p in pairs if p[0] != p[1])
+        out = [(None, *p, None) for p in sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})]
+        out += _links(left, hit, [rows[i][3] for i in right])
+        return out + _links(right, hit.T, [rows[i][3] for i in left])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = _by_cell(batches, ["side", "star", "grams"])
-        return _in_parts((found(rows) for _, rows in cells), ["star", "other"])
+        cells = _by_cell(batches, ["side", "star", "grams", "copies"])
+        return _in_parts((found(rows) for _, rows in cells), ["set_id", "star", "other", "links"])
 
     return compare
 
 
-def greedy_stars(sets: dict[bytes, np.ndarray], threshold: float) -> tuple[dict[bytes, bytes], set]:
-    """Star of each set of a block and the pairs of its stars that are linked.
+def greedy_stars(
+    sets: dict[bytes, np.ndarray], copies: dict[bytes, int], threshold: float
+) -> tuple[dict[bytes, bytes], set, dict[bytes, int]]:
+    """Star of each set of a block, the pairs of its stars that are linked and the links of each set.
 
-    In order of their bytes, a set that reaches no earlier star's own set begins a star.
+    In order of their bytes, a set that reaches no earlier star's own set begins a star.  The links
+    of a set are the rows of all other sets that it reaches, in its star or not.
     """
     names = sorted(sets)
     grams = [sets[x] for x in names]
     hit = linked(grams, grams, threshold)
+    np.fill_diagonal(hit, False)
     pivots: list[int] = []
     star = {}
     for k, name in enumerate(names):
@@ -438,78 +426,25 @@ def greedy_stars(sets: dict[bytes, np.ndarray], threshold: float) -> tuple[dict[
             pivots.append(k)
             at = k
         star[name] = names[at]
-    a, b = np.nonzero(np.triu(hit, 1))
+    a, b = np.nonzero(np.triu(hit))
     pairs = {tuple(sorted((star[names[x]], star[names[y]]))) for x, y in zip(a, b)}
-    return star, {p for p in pairs if p[0] != p[1]}
-
-
-BLOCK_STARS = "set_id binary, star binary, other binary"
+    links = dict(zip(names, (hit @ np.array([copies[x] for x in names], np.int64)).tolist()))
+    return star, {p for p in pairs if p[0] != p[1]}, links
 
 
 def _block_stars(threshold: float):
-    """Rows (set_id, star) of a block's sets and (star, other) of its linked stars."""
-
-    def of_block(block: pd.DataFrame) -> pd.DataFrame:
-        star, pairs = greedy_stars({i: np.frombuffer(g, _U) for i, g in zip(block["set_id"], block["grams"])}, threshold)
-        rows = [(i, s, None) for i, s in star.items()] + [(None, a, b) for a, b in sorted(pairs)]
-        return pd.DataFrame(rows, columns=["set_id", "star", "other"])
-
-    return of_block
-
-
-def assigned(
-    sets: list[np.ndarray], pivots: dict[bytes, np.ndarray], threshold: float
-) -> list[bytes | None]:
-    """The pivot each set joins; a pivot that reaches one before it is none."""
-    kept: list[bytes] = []
-    for name in sorted(pivots):
-        if not kept or not reaches(*similar([pivots[name]], [pivots[k] for k in kept]), threshold).any():
-            kept.append(name)
-    if not kept:
-        return [None] * len(sets)
-    common, joint = similar(sets, [pivots[k] for k in kept])
-    close = np.where(reaches(common, joint, threshold), common / joint, 0)
-    return [kept[k] if row[k] else None for row, k in zip(close, close.argmax(1))]
-
-
-def _assigned(threshold: float):
-    def of_part(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=["set_id", "star"])
-        grams = [np.frombuffer(g, _U) for g in rows["grams"]]
-        of = {i: np.frombuffer(g, _U) for i, g in zip(pivots["pivot"], pivots["pivot_grams"])}
-        return pd.DataFrame({"set_id": rows["set_id"], "star": assigned(grams, of, threshold)}).dropna()
+    """Rows (set_id, star, links) of a block's sets and (star, other) of its linked stars."""
 
-    return of_part
-
-
-ACROSS = "star binary, other binary, linked boolean, set_id binary, near double"
-
-
-def _across(threshold: float, members: bool):
-    """Members of a part against the pivots of other stars.
+    def found(rows: dict[bytes, list]) -> list:
+        sets = {i: np.frombuffer(r[0], _U) for i, r in rows.items()}
+        star, pairs, links = greedy_stars(sets, {i: r[1] for i, r in rows.items()}, threshold)
+        return [(i, s, None, links[i]) for i, s in star.items()] + [(None, *p, None) for p in sorted(pairs)]
 
-    One row for each star that is linked to the other one, or has members near enough to its pivot
-    for a link behind it; ``members``: also a row for each of these, with its similarity.
-    """
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = _by_cell(batches, ["grams", "copies"])
+        return _in_parts((found(rows) for _, rows in cells), ["set_id", "star", "other", "links"])
 
-    def of_part(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        if len(rows) and len(pivots):
-            sides = (rows["grams"], pivots["pivot_grams"])
-            common, joint = similar(*([np.frombuffer(g, _U) for g in side] for side in sides))
-            ids, stars, others = rows["set_id"].array, rows["star"].array, pivots["other"].array
-            hits = reaches(common, joint, threshold)
-            near = list(zip(*np.nonzero(reaches(common, joint, 2 * threshold - 1))))
-            links = {(stars[a], others[b]) for a, b in near if hits[a, b]}
-            pairs = {(stars[a], others[b]) for a, b in near}
-            out = [(*p, p in links, None, None) for p in sorted(pairs) if p[0] != p[1]]
-            if members:
-                out += [(stars[a], others[b], False, ids[a], common[a, b] / joint[a, b]) for a, b in near
-                        if stars[a] != others[b] and (stars[a], others[b]) not in links]
-        return pd.DataFrame(out, columns=["star", "other", "linked", "set_id", "near"])
-
-    return of_part
+    return compare
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -519,7 +454,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _with_grams(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
-    """All tokens of some sets, from one document each (repeated rows give some twice): (set_id, grams)."""
+    """All tokens of some sets, from one document each (repeated rows give some twice): (set_id, copies, grams)."""
 
     @F.pandas_udf("set_id binary, grams binary")
     def describe(texts: pd.Series) -> pd.DataFrame:
@@ -527,8 +462,8 @@ def _with_grams(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
         return pd.DataFrame({"set_id": [set_id(g) for g in sets], "grams": [g.tobytes() for g in sets]})
 
     rows = docs.select("doc_id", text_of(text).alias("text")).select(_key().alias("first_key"), "text")
-    found = rows.join(sets.hint("merge"), "first_key").select("set_id", describe("text").alias("d"))
-    return found.where("set_id = d.set_id").select("set_id", "d.grams")
+    found = rows.join(sets.hint("merge"), "first_key").select("set_id", "copies", describe("text").alias("d"))
+    return found.where("set_id = d.set_id").select("set_id", "copies", "d.grams")
 
 
 def _key():
@@ -574,116 +509,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(seen)
 
 
-# --- stars -------------------------------------------------------------------------------------
-
-
-def _pivot_stars(homes: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """(set_id, star) of the sets of large homes that a pivot takes, stars of more than a block."""
-    spark = homes.sparkSession
-    rest = cut_lineage(homes.where(F.col("k") > BLOCK_SETS).select("set_id", "home"))
-    stars = spark.createDataFrame([], "set_id binary, star binary")
-    parts = F.ceil(F.col("k") / BLOCK_SETS)
-    of_pivot = grams.select(F.col("set_id").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    for turn in range(ROUNDS):
-        rows = cut_lineage(_counted(rest, "home", "k", least=BLOCK_SETS + 1))
-        if rows.isEmpty():
-            break
-        members = rows.withColumn("part", F.pmod(F.xxhash64("set_id"), parts)).join(grams, "set_id")
-        pivots = rows.where(F.pmod(F.xxhash64(F.lit(turn), "set_id"), F.col("k")) < PIVOTS)
-        pivots = pivots.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        pivots = pivots.select(F.col("home").alias("of"), F.col("part").alias("at"), F.col("set_id").alias("pivot")).join(of_pivot, "pivot")
-        taken = members.groupBy("home", "part").cogroup(pivots.groupBy("of", "at"))
-        taken = cut_lineage(taken.applyInPandas(_assigned(threshold), "set_id binary, star binary").distinct())
-        taken = cut_lineage(_counted(taken, "star", "n", least=BLOCK_SETS + 1).select("set_id", "star"))
-        if taken.isEmpty():  # no pivot of this round has a block of near copies: more rounds would find few
-            break
-        stars = stars.unionByName(taken)
-        rest = cut_lineage(rest.join(taken, "set_id", "left_anti"))
-    return stars
-
-
-def _against_pivots(
-    units: DataFrame, pairs: DataFrame, grams: DataFrame, threshold: float, members: bool
-) -> DataFrame:
-    """Members (unit, part, parts, set_id, star) of units against stars, for pairs (unit, other)."""
-    sizes = units.groupBy("unit").agg(F.max("parts").alias("parts"))
-    targets = pairs.join(sizes, "unit").select(
-        F.col("unit").alias("of"), "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("at")
-    ).join(grams.select(F.col("set_id").alias("other"), F.col("grams").alias("pivot_grams")), "other")
-    rows = units.join(pairs.select("unit").distinct(), "unit", "left_semi").join(grams, "set_id")
-    found = rows.groupBy("unit", "part").cogroup(targets.groupBy("of", "at"))
-    return cut_lineage(found.applyInPandas(_across(threshold, members), ACROSS))
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("star", "other").alias("star"), F.greatest("star", "other").alias("other")).distinct()
-
-
-def _sided(rows: DataFrame) -> DataFrame:
-    """Rows with their pair in order and the side of their own star, 0 or 1."""
-    return rows.select(
-        F.least("star", "other").alias("a"), F.greatest("star", "other").alias("b"),
-        (F.col("star") > F.col("other")).cast("int").alias("side"), "set_id", "near",
-    ).withColumnsRenamed({"a": "star", "b": "other"})
-
-
-def _settled(rows: DataFrame, grams: DataFrame, cell: list, threshold: float) -> DataFrame:
-    """Pairs of stars with a link between the two sides of a cell."""
-    own = F.when(F.col("side") == 0, F.col("star")).otherwise(F.col("other"))
-    rows = rows.select(F.xxhash64("star", "other", *cell).alias("cell"), "side", "set_id", own.alias("own"))
-    rows = rows.withColumnRenamed("own", "star").join(grams, "set_id")
-    return _dealt(rows).mapInPandas(_star_pairs(threshold), PAIRS).distinct()
-
-
-def _far_links(met: DataFrame, units: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """Linked pairs of stars of which one is large: (star, other).
-
-    ``units``: (set_id, unit, big, star, part, parts); the members of a large star are one unit, a
-    block of other sets is one too.
-    """
-    stars = cut_lineage(units.select("unit", F.col("star").alias("other"), "big").distinct())
-    large = stars.where("big").select("unit", "other")
-    pairs = _unit_pairs(met, units.select("set_id", "unit", "big"), "big").select(F.col("a").alias("unit"), "b")
-    pairs = cut_lineage(pairs.join(large.withColumnRenamed("unit", "b"), "b").select("unit", "other"))
-    found = _against_pivots(units, pairs, grams, threshold, members=False)
-    links = cut_lineage(_ordered(found.where("linked")))
-    # open: no link so far, and members near the other pivot; for two large stars on both sides
-    near = found.groupBy(F.least("star", "other").alias("a"), F.greatest("star", "other").alias("b")).agg(
-        F.bool_or("linked").alias("linked"), F.min("star").alias("x"), F.max("star").alias("y"))
-    near = near.where("NOT linked").join(large.select(F.col("other").alias("a"), F.lit(True).alias("big_a")), "a", "left")
-    near = near.join(large.select(F.col("other").alias("b"), F.lit(True).alias("big_b")), "b", "left")
-    near = near.where("x <> y OR big_a IS NULL OR big_b IS NULL")
-    ends = cut_lineage(near.select(F.explode(F.array(
-        F.struct(F.col("a").alias("star"), F.col("b").alias("other")),
-        F.struct(F.col("b").alias("star"), F.col("a").alias("other")))).alias("p")).select("p.star", "p.other"))
-    pairs = ends.join(stars.select("unit", F.col("other").alias("star")), "star").select("unit", "other").distinct()
-    found = _against_pivots(units, cut_lineage(pairs), grams, threshold, members=True)
-    links = cut_lineage(links.unionByName(_ordered(found.where("linked"))).distinct())
-    rows = found.where("set_id IS NOT NULL").join(ends, ["star", "other"], "left_semi")
-    rows = cut_lineage(_sided(rows).join(links, ["star", "other"], "left_anti"))
-    # the nearest members of both sides first, then all that may have a link
-    nearest = F.row_number().over(Window.partitionBy("star", "other", "side").orderBy(F.desc("near"), "set_id"))
-    first = rows.withColumn("k", nearest).where(F.col("k") <= NEAREST).drop("k")
-    links = cut_lineage(links.unionByName(_settled(first, grams, [], threshold)).distinct())
-    rows = cut_lineage(rows.join(links, ["star", "other"], "left_anti"))
-    counts = rows.groupBy("star", "other").agg(*[
-        F.ceil(F.sum((F.col("side") == k).cast("int")) / BLOCK_SETS).alias(f"k{k}") for k in (0, 1)])
-    at = F.pmod(F.xxhash64("set_id"), F.when(F.col("side") == 0, F.col("k0")).otherwise(F.col("k1")))
-    to = F.when(F.col("side") == 0, F.col("k1")).otherwise(F.col("k0"))
-    rows = rows.join(counts.where("k0 > 0 AND k1 > 0"), ["star", "other"]).withColumn("at", at)
-    rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), to - 1)))
-    cell = [F.when(F.col("side") == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("at", "to"), ("to", "at"))]
-    return links.unionByName(_settled(rows, grams, cell, threshold)).distinct()
-
-
 # --- the join ------------------------------------------------------------------------------------
 
 
 def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, text: str = "text") -> DataFrame:
-    """Every row with its class_id, its star_id and, for a star's representative, the linked stars.
+    """Every row with its class_id, its star_id, its links and, for a star's representative, the linked stars.
 
     Class and star are named by their least id, that of the star's own text; ``linked`` is null for
-    rows that represent no star.
+    rows that represent no star.  ``n_links`` counts the other rows whose text reaches the threshold,
+    copies included.
     """
     scan, own, pairs = _classes(docs, threshold, recall, text)
     names = own.where("set_id = star").select("star", F.col("first_doc").alias("star_id"))
@@ -694,14 +528,15 @@ def joined(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     none = F.array().cast("array<bigint>")
     rows = _by_key(own, stars, "star", _hot(own, "star")).select(
         "set_id", "class_id", "star_id",
-        F.when(F.col("set_id") == F.col("star"), F.coalesce("linked", none)).alias("linked"),
+        F.when(F.col("set_id") == F.col("star"), F.coalesce("linked", none)).alias("linked"), "n_links",
     )
     full = scan.where("n > 0").select("doc_id", "set_id")
     first = F.col("doc_id").eqNullSafe(F.col("star_id"))
     full = full.join(cut_lineage(rows), "set_id").select(
-        "doc_id", "class_id", "star_id", F.when(first, F.col("linked")).alias("linked"))
+        "doc_id", "class_id", "star_id", F.when(first, F.col("linked")).alias("linked"), "n_links")
     empty = scan.where("n = 0").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("star_id"), none.alias("linked"))
+        "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("star_id"), none.alias("linked"),
+        F.lit(0).cast("long").alias("n_links"))
     return full.unionByName(empty)
 
 
@@ -713,37 +548,33 @@ def _classes(
     scan = cut_lineage(_scan(docs, text, hashed))
     sets = cut_lineage(scan.where("n > 0").groupBy("set_id").agg(
         F.min("key").alias("first_key"), F.min("doc_id").alias("first_doc"),
-        F.first("n").alias("n"), F.first("sample").alias("sample"),
+        F.first("n").alias("n"), F.first("sample").alias("sample"), F.count("*").alias("copies"),
     ))
     met = _meetings(sets, threshold, recall)
-    homes = _homes(met, sets)
-    large = homes.where(F.col("k") > BLOCK_SETS).select("set_id", "first_key")
-    # sets near another one by their samples, or beside a set of a large home, are compared in full
-    rest = homes.where(F.col("k") <= BLOCK_SETS)
-    near = _near_sets(met, _blocks(rest)).unionByName(_beside(met, large, rest)).distinct()
-    chosen = rest.join(near, "set_id", "left_semi").select("set_id", "first_key").unionByName(large)
+    hot = _hot_nodes(met)
+    blocks = _blocks(_homes(met, sets, hot))
+    # sets near another one by their samples are compared in full
+    cells = _cells(met, blocks, hot).join(blocks.select("set_id", "sample"), "set_id")
+    near = cut_lineage(_dealt(cells).mapInPandas(_near, NEAR))
+    chosen = blocks.join(near.select("set_id").distinct(), "set_id").select("set_id", "first_key", "copies")
     grams = cut_lineage(_with_grams(docs, cut_lineage(chosen), text))
-    pivoted = cut_lineage(_pivot_stars(homes, grams, threshold))
-    others = homes.join(grams.select("set_id"), "set_id", "left_semi").join(pivoted, "set_id", "left_anti")
-    blocks = _blocks(others)
-    found = blocks.select("block", "set_id").join(grams, "set_id").groupBy("block")
-    found = cut_lineage(found.applyInPandas(_block_stars(threshold), BLOCK_STARS))
-    stars = found.where("set_id IS NOT NULL").select("set_id", "star")
-    pairs = found.where("set_id IS NULL").select("star", "other")
-    # blocks with blocks
-    cells = _cells(_unit_pairs(met, blocks.select("set_id", F.col("block").alias("unit"), F.lit(False).alias("big"))))
-    near = cut_lineage(_dealt(_meeting(cells, blocks)).mapInPandas(_near, NEAR))
-    known = stars.join(grams, "set_id").select("set_id", "star", "grams")
-    compared = near.join(known, "set_id").select("cell", "side", "set_id", "star", "grams")
-    pairs = pairs.unionByName(_dealt(compared).mapInPandas(_star_pairs(threshold), PAIRS).distinct())
-    # large stars with both
-    if not pivoted.isEmpty():
-        units = _units(blocks.select("set_id", "block").join(stars, "set_id"), pivoted)
-        pairs = pairs.unionByName(_far_links(met, units, grams, threshold)).distinct()
+    # blocks, then blocks with blocks
+    within = _dealt(near.where("same").join(grams, "set_id").select("cell", "set_id", "grams", "copies"))
+    within = cut_lineage(within.mapInPandas(_block_stars(threshold), FOUND))
+    stars = within.where("set_id IS NOT NULL").select("set_id", "star")
+    across = near.where("NOT same").join(grams, "set_id").join(stars, "set_id", "left").select(
+        "cell", "side", "set_id", F.coalesce("star", "set_id").alias("star"), "grams", "copies")
+    across = cut_lineage(_dealt(across).mapInPandas(_star_pairs(threshold), FOUND))
+    found = within.unionByName(across)
+    pairs = found.where("set_id IS NULL").select("star", "other").distinct()
+    by_set = found.where("set_id IS NOT NULL").groupBy("set_id").agg(F.max("star").alias("star"), F.sum("links").alias("links"))
     pairs = cut_lineage(pairs)
     roots = components(pairs.select(F.col("star").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "star")
-    own = sets.select("set_id", "first_doc").join(stars.unionByName(pivoted), "set_id", "left")
-    own = cut_lineage(own.withColumn("star", F.coalesce("star", "set_id")))
+    own = sets.select("set_id", "first_doc", "copies").join(by_set, "set_id", "left")
+    own = cut_lineage(own.select(
+        "set_id", "first_doc", F.coalesce("star", "set_id").alias("star"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    ))
     tops = own.groupBy("star").agg(F.min("first_doc").alias("least")).join(roots, "star", "left")
     tops = cut_lineage(tops.withColumn("root", F.coalesce("root", "star")))
     classes = tops.groupBy("root").agg(F.min("least").alias("class_id"))
@@ -756,34 +587,6 @@ def _hot(rows: DataFrame, key: str) -> DataFrame:
     return cut_lineage(rows.groupBy(key).agg(F.count("*").alias("k")).where(F.col("k") > HOT).select(key))
 
 
-def _meeting(cells: DataFrame, blocks: DataFrame) -> DataFrame:
-    return cells.join(blocks, "block").select("cell", "side", "set_id", "sample")
-
-
-def _near_sets(met: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Sets whose sample is near another's in their block or in one that shares a node."""
-    units = blocks.select("set_id", F.col("block").alias("unit"), F.lit(False).alias("big"))
-    cells = _cells(_unit_pairs(met, units)).unionByName(_own_cells(blocks).select("cell", "block", "side"))
-    return cut_lineage(_dealt(_meeting(cells, blocks)).mapInPandas(_near, NEAR)).select("set_id").distinct()
-
-
-def _beside(met: DataFrame, large: DataFrame, rest: DataFrame) -> DataFrame:
-    """Sets that share a node with a set of a large home."""
-    nodes = met.join(_sid(large.select("set_id")), "sid", "left_semi").select("node").distinct()
-    return met.join(_sid(rest.select("set_id")), "sid").join(nodes, "node", "left_semi").select("set_id")
-
-
-def _units(ordinary: DataFrame, pivoted: DataFrame) -> DataFrame:
-    """Large stars in parts of a block's size, and blocks as units of one part."""
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    small = ordinary.select("set_id", F.col("block").alias("unit"), F.lit(False).alias("big"), "star",
-                            zero.alias("part"), one.alias("parts"))
-    large = _counted(pivoted, "star", "k").withColumn("parts", F.ceil(F.col("k") / BLOCK_SETS)).select(
-        "set_id", F.xxhash64("star").alias("unit"), F.lit(True).alias("big"), "star",
-        F.pmod(F.xxhash64("set_id"), F.col("parts")).alias("part"), "parts")
-    return cut_lineage(small.unionByName(large))
-
-
 def one_per_class(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one document of each class: the one with the least id, then least text hash.
 

@@ -466,6 +466,7 @@ def check_join(texts, got, threshold=0.8):
     assert sorted(r["doc_id"] for r in got) == sorted(texts)
     assert {r["doc_id"]: r["class_id"] for r in got} == {d: c for d, (c, _) in want.items()}
     star = {r["doc_id"]: r["star_id"] for r in got}
+    assert {r["doc_id"]: r["n_links"] for r in got} == {d: n for d, (_, n) in want.items()}
     alike = lambda a, b: len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9
     for d, s in star.items():
         assert star[s] == s and (d == s or alike(d, s))
@@ -511,14 +512,23 @@ def test_join_of_a_large_group_of_near_copies(spark, edits):
 
 def test_join_with_small_blocks_and_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 16)
-    monkeypatch.setattr(ngram_join, "PIVOTS", 4)
-    monkeypatch.setattr(ngram_join, "NEAREST", 1)
     monkeypatch.setattr(ngram_join, "HOT", 50)
     made = near_copies(200, 6, 12) | {1000 + d: t for d, t in near_copies(150, 2, 13, 0).items()}
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     check_join(made, ngram_join.joined(df).collect())
 
 
+def test_links_inside_a_star_are_counted(spark):
+    """Four texts, each near the first one, some of them too far from each other; one is there twice."""
+    base = [f"w{k}" for k in range(100)]
+    edit = lambda a, b: " ".join(base[:a] + [f"x{a}"] + base[a + 1 : b] + [f"y{b}"] + base[b + 1 :])
+    made = {0: " ".join(base), 1: edit(10, 20), 2: edit(30, 40), 3: edit(12, 20), 4: edit(12, 20)}
+    want = brute_join(made)
+    assert len({n for _, n in want.values()}) > 1
+    got = ngram_join.joined(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
+
+
 def test_one_per_class_with_null_and_repeated_ids(spark):
     same = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
     near = [t + " end" for t in same]
