@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over the session's shuffle width: costly ones may come from few parts of a small file."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def page_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as minimal company rows: title, address, host."""
     return table(spark, sf_dir, "pages").select(

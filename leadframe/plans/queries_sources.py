@@ -137,7 +137,7 @@ def s_product_details(spark, d):
         ).alias("html"),
     )
     launches = P.read_launches(I.launch_pages(spark, d))
-    joined = P.with_product_details(launches, P.read_product_details(details))
+    joined = P.with_product_details(launches, P.read_product_details(I.spread(details)))
     return joined.select(
         "name", "website", "domain", F.array_join("enrichment.tags", ",").alias("tags")
     )
@@ -152,7 +152,7 @@ def s_makers(spark, d):
         .otherwise(F.lit("<p>none</p>")).alias("html"),
         F.lit("u").alias("url"),
     )
-    out = P.read_product_details(pages)
+    out = P.read_product_details(I.spread(pages))
     return out.select("k", F.array_join("makers", "|").alias("makers"), "website")
 
 
