@@ -6,7 +6,8 @@ tokens ``t`` and posteriors ``p``, a document of rate ``w`` adds ``w * t * p[d]`
 to domain ``d``.  Projected gradient steps fit nonnegative rates whose totals come closest to
 the targets in the least squares sense, each domain's error weighed by the tokens it has.  One
 step needs one sum per domain over all documents; rates are a function of the posterior
-and of the steps' errors, so no state but the written posteriors is kept.
+and of the steps' errors.  The rates are written after every ``SPAN`` steps, so the plan of a step
+does not grow with the steps before it.
 
 With weights ``1 / m[d]`` (``m[d]``: the tokens domain ``d`` has) and the inner product that
 weighs documents by their tokens, the squared operator is a stochastic matrix: its
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadframe.llm.common import SPACE_PATTERN, text_of, words_of
-from leadframe.session import cut_lineage
+from leadframe.session import cut_lineage, discard
 
 #: Domains of the registered query with their target shares of all tokens.
 TARGETS = {"de": 0.14, "en": 0.60, "es": 0.11, "fr": 0.14, "junk": 0.01}
@@ -38,6 +39,8 @@ TARGETS = {"de": 0.14, "en": 0.60, "es": 0.11, "fr": 0.14, "junk": 0.01}
 TRAIN_DOCS, BUCKETS, EVIDENCE = 4000, 4096, 40
 #: Steps at most, and the relative error at which they end.
 STEPS, EXACT = 40, 1e-6
+#: Steps that one plan holds at most, until the rates are written.
+SPAN = 4
 #: Share of all tokens below which a domain is out of reach: none of its documents is there.
 REACH = 1e-4
 #: Most tokens of a mix that keeps all documents, as a multiple of the tokens there are.
@@ -103,9 +106,9 @@ def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text") -> D
     ).drop("_scores", "_e", "_sum")
 
 
-def _rate(steps: list[list[float]], least: float = 0.0) -> Column:
+def _rate(steps: list[list[float]], least: float = 0.0, start: Column | None = None) -> Column:
     """Rate after these steps: each subtracts the posterior's share of the errors, down to ``least``."""
-    rate = F.lit(1.0)
+    rate = F.lit(1.0) if start is None else start
     for errors in steps:
         move = reduce(Column.__add__, [F.get("_p", F.lit(d)) * e for d, e in enumerate(errors)])
         rate = F.greatest(F.lit(least), rate - move)
@@ -139,24 +142,34 @@ def fitted_steps(soft: DataFrame, targets: list[float], keep_all: bool = False)
     """
     least = 1.0 if keep_all else 0.0
 
-    def totals(rate: Column) -> list[float]:
-        sums = [F.sum(F.get("_p", F.lit(d)) * F.col("_tokens") * rate).alias(f"s{d}") for d in range(len(targets))]
-        return [x or 0.0 for x in soft.agg(*sums).first()]
+    def totals(rated: DataFrame) -> list[float]:
+        sums = [F.sum(F.get("_p", F.lit(d)) * F.col("_tokens") * F.col("_rate")).alias(f"s{d}") for d in range(len(targets))]
+        return [x or 0.0 for x in rated.agg(*sums).first()]
 
-    have = totals(F.lit(1.0))
+    rated = soft.select("_p", "_tokens", F.lit(1.0).alias("_rate"))
+    have = totals(rated)
     reachable = [m > REACH * sum(have) for m in have]
     share = sum(t for t, r in zip(targets, reachable) if r) or 1.0
     goal = [sum(have) * t / share * r for t, r in zip(targets, reachable)]
     if keep_all:
         goal = grown(have, goal)
     steps: list[list[float]] = []
-    now = have
+    now, written = have, None
     for _ in range(STEPS):
         errors = [(n - g) / m if r else 0.0 for n, g, m, r in zip(now, goal, have, reachable)]
         if max(map(abs, errors), default=0.0) < EXACT:
             break
         steps.append(errors)
-        now = totals(_rate(steps, least))
+        since = steps[(len(steps) - 1) // SPAN * SPAN :]
+        after = rated.select("_p", "_tokens", _rate(since, least, F.col("_rate")).alias("_rate"))
+        if len(since) == SPAN:
+            after = rated = cut_lineage(after)
+            if written is not None:
+                discard(written)
+            written = rated
+        now = totals(after)
+    if written is not None:
+        discard(written)
     return steps
 
 

@@ -81,3 +81,26 @@ def test_documents_without_words_stay_once(spark):
     more = docs.limit(3).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(900).cast("long"))
     out = mixing.mixed(docs.union(more), labelled)
     assert 3 <= out.where("doc_id = 900").count() <= 30
+
+
+def test_the_plan_of_a_step_does_not_grow(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(60):
+        p = [rng.random() ** 3 for _ in range(3)]
+        rows.append(([x / sum(p) for x in p], rng.randint(1, 90)))
+    soft = spark.createDataFrame(rows, "_p array<double>, _tokens long")
+    sizes, rate = [], mixing._rate
+    monkeypatch.setattr(mixing, "_rate", lambda steps, *more: sizes.append(len(steps)) or rate(steps, *more))
+    for targets, keep_all in (([0.8, 0.15, 0.05], False), ([0.1, 0.1, 0.8], True)):
+        steps = mixing.fitted_steps(soft, targets, keep_all)
+        assert len(steps) > 12 and max(sizes) <= 8
+        have = [sum(p[d] * t for p, t in rows) for d in range(3)]
+        goal = [sum(have) * x for x in targets]
+        goal = mixing.grown(have, goal) if keep_all else goal
+        rates = [1.0] * len(rows)
+        for errors in steps:
+            now = [sum(p[d] * t * r for (p, t), r in zip(rows, rates)) for d in range(3)]
+            assert errors == pytest.approx([(n - g) / m for n, g, m in zip(now, goal, have)], abs=1e-9)
+            moves = [sum(x * e for x, e in zip(p, errors)) for p, _ in rows]
+            rates = [max(float(keep_all), r - m) for r, m in zip(rates, moves)]
