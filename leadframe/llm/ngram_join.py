@@ -204,8 +204,7 @@ def _meetings(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     out = cut_lineage(out.select("node", "sid", "size"))
-    for table in old:
-        discard(table)
+    _discard_all(*old)
     return out
 
 
@@ -228,6 +227,11 @@ def _counted(rows: DataFrame, key: str, name: str, least: int = 1, spread: str =
     return _by_key(rows, sizes, key, sizes.where(F.col(name) > HOT).select(key), spread)
 
 
+def _discard_all(*tables: DataFrame) -> None:
+    for table in tables:
+        discard(table)
+
+
 def _sid(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sid", F.xxhash64("set_id"))
 
@@ -236,31 +240,33 @@ def _hot_nodes(met: DataFrame) -> DataFrame:
     return cut_lineage(met.where(F.col("size") > HOT).select("node").distinct())
 
 
-def _homes(met: DataFrame, sets: DataFrame, hot: DataFrame) -> DataFrame:
-    """Sets that meet others: their room and the number ``k`` of sets in it.
+def _rooms(met: DataFrame, hot: DataFrame) -> DataFrame:
+    """The room of each set that meets others: (sid, room).
 
     The room decides who shares a block.  It is the home with most sets among those of all sets it
     meets, so that the stragglers of a group fill few blocks.
     """
-    homes = met.groupBy("sid").agg(F.max(F.struct("size", "node")).alias("h"))
-    own = homes.join(_sid(sets.select("set_id", "n", "first_key", "sample", "copies")), "sid")
-    own = cut_lineage(own.select("sid", "set_id", F.col("h.node").alias("home"), "n", "first_key", "sample", "copies"))
-    own = cut_lineage(_counted(own, "home", "k"))
-    of = met.join(own.select("sid", "home", "k"), "sid").groupBy("node").agg(F.max(F.struct("k", "home")).alias("largest"))
-    room = _by_key(met, cut_lineage(of), "node", hot, "sid").groupBy("sid").agg(F.max("largest")["home"].alias("room"))
-    return _counted(cut_lineage(own.drop("home", "k").join(room, "sid").drop("sid")), "room", "k")
+    homes = cut_lineage(met.groupBy("sid").agg(F.max(F.struct("size", "node"))["node"].alias("home")))
+    own = cut_lineage(_counted(homes, "home", "k", spread="sid"))
+    of = cut_lineage(met.join(own, "sid").groupBy("node").agg(F.max(F.struct("k", "home")).alias("largest")))
+    room = cut_lineage(_by_key(met, of, "node", hot, "sid").groupBy("sid").agg(F.max("largest")["home"].alias("room")))
+    _discard_all(homes, own, of)
+    return room
 
 
-def _blocks(homes: DataFrame) -> DataFrame:
-    """Sets with their block, by the number of sets in their room.
+def _blocks(rooms: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sets with their block, by the number of sets in their room: (sid, set_id, block).
 
     Sets of many tokens go to blocks of fewer sets: ``per`` of them, a power of two.
     """
     space = F.least(F.lit(float(BLOCK_SETS)), BLOCK_TOKENS / F.col("n"))
     per = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), space)))).cast("int")
-    rows = cut_lineage(homes.drop("k").withColumn("room", F.xxhash64("room", per)).withColumn("per", per))
+    rows = _sid(sets.select("set_id", "n")).join(rooms, "sid")
+    rows = cut_lineage(rows.select("sid", "set_id", F.xxhash64("room", per).alias("room"), per.alias("per")))
     part = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("k") / F.col("per")))
-    return cut_lineage(_counted(rows, "room", "k").withColumn("block", F.xxhash64("room", part)).drop("room", "per", "k"))
+    blocks = cut_lineage(_counted(rows, "room", "k").select("sid", "set_id", F.xxhash64("room", part).alias("block")))
+    discard(rows)
+    return blocks
 
 
 def _cells(met: DataFrame, blocks: DataFrame, hot: DataFrame) -> DataFrame:
@@ -269,19 +275,21 @@ def _cells(met: DataFrame, blocks: DataFrame, hot: DataFrame) -> DataFrame:
     A cell of two blocks holds the sets of each that share a node with one of the other; a block of
     several sets is a cell of one side.
     """
-    rows = met.join(_sid(blocks.select("set_id", "block")), "sid").select("node", "set_id", "block")
-    rows = cut_lineage(rows)
+    rows = cut_lineage(met.select("node", "sid").join(blocks.select("sid", "block"), "sid"))
     there = rows.groupBy("node").agg(F.sort_array(F.collect_set("block")).alias("blocks")).where(F.size("blocks") > 1)
+    there = cut_lineage(there)
     # a group meets at many nodes with the same blocks
-    meets = _by_key(rows, cut_lineage(there), "node", hot).select("set_id", "block", "blocks").distinct()
-    meets = meets.select("set_id", "block", F.explode("blocks").alias("other")).where("block <> other").distinct()
-    across = meets.select(
+    meets = _by_key(rows, there, "node", hot, "sid").select("sid", "block", "blocks").distinct()
+    meets = meets.select("sid", "block", F.explode("blocks").alias("other")).where("block <> other").distinct()
+    across = meets.join(blocks, ["sid", "block"]).select(
         F.xxhash64(F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
         (F.col("block") > F.col("other")).cast("int").alias("side"), "set_id",
     )
     several = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
     own = blocks.join(several, "block").select(F.xxhash64("block", "block").alias("cell"), F.lit(0).alias("side"), "set_id")
-    return cut_lineage(across.unionByName(own))
+    cells = cut_lineage(across.unionByName(own))
+    _discard_all(rows, there)
+    return cells
 
 
 # --- comparison --------------------------------------------------------------------------------
@@ -456,14 +464,17 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _with_grams(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
     """All tokens of some sets, from one document each (repeated rows give some twice): (set_id, copies, grams)."""
 
-    @F.pandas_udf("set_id binary, grams binary")
-    def describe(texts: pd.Series) -> pd.DataFrame:
-        sets = [tokens(t) for t in texts]
-        return pd.DataFrame({"set_id": [set_id(g) for g in sets], "grams": [g.tobytes() for g in sets]})
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            grams = [tokens(t) for t in batch["text"]]
+            same = np.array([set_id(g) == i for g, i in zip(grams, batch["set_id"])], bool)
+            batch = batch[["set_id", "copies"]].assign(grams=[g.tobytes() for g in grams])
+            yield batch[same]
 
     rows = docs.select("doc_id", text_of(text).alias("text")).select(_key().alias("first_key"), "text")
-    found = rows.join(sets.hint("merge"), "first_key").select("set_id", "copies", describe("text").alias("d"))
-    return found.where("set_id = d.set_id").select("set_id", "copies", "d.grams")
+    # a filter on a function of the text would become a key of the join: all texts would be described before it
+    found = rows.join(sets.hint("merge"), "first_key").select("set_id", "copies", "text")
+    return found.mapInPandas(describe, "set_id binary, copies long, grams binary")
 
 
 def _key():
@@ -552,12 +563,17 @@ def _classes(
     ))
     met = _meetings(sets, threshold, recall)
     hot = _hot_nodes(met)
-    blocks = _blocks(_homes(met, sets, hot))
+    rooms = _rooms(met, hot)
+    blocks = _blocks(rooms, sets)
+    cells = _cells(met, blocks, hot)
+    _discard_all(met, rooms, blocks)
     # sets near another one by their samples are compared in full
-    cells = _cells(met, blocks, hot).join(blocks.select("set_id", "sample"), "set_id")
-    near = cut_lineage(_dealt(cells).mapInPandas(_near, NEAR))
-    chosen = blocks.join(near.select("set_id").distinct(), "set_id").select("set_id", "first_key", "copies")
-    grams = cut_lineage(_with_grams(docs, cut_lineage(chosen), text))
+    near = cells.join(sets.select("set_id", "sample"), "set_id")
+    near = cut_lineage(_dealt(near).mapInPandas(_near, NEAR))
+    discard(cells)
+    chosen = sets.select("set_id", "first_key", "copies").join(near.select("set_id").distinct(), "set_id")
+    chosen = cut_lineage(chosen)
+    grams = cut_lineage(_with_grams(docs, chosen, text))
     # blocks, then blocks with blocks
     within = _dealt(near.where("same").join(grams, "set_id").select("cell", "set_id", "grams", "copies"))
     within = cut_lineage(within.mapInPandas(_block_stars(threshold), FOUND))
@@ -565,6 +581,7 @@ def _classes(
     across = near.where("NOT same").join(grams, "set_id").join(stars, "set_id", "left").select(
         "cell", "side", "set_id", F.coalesce("star", "set_id").alias("star"), "grams", "copies")
     across = cut_lineage(_dealt(across).mapInPandas(_star_pairs(threshold), FOUND))
+    _discard_all(near, chosen, grams)
     found = within.unionByName(across)
     pairs = found.where("set_id IS NULL").select("star", "other").distinct()
     by_set = found.where("set_id IS NOT NULL").groupBy("set_id").agg(F.max("star").alias("star"), F.sum("links").alias("links"))
@@ -575,6 +592,7 @@ def _classes(
         "set_id", "first_doc", F.coalesce("star", "set_id").alias("star"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     ))
+    _discard_all(sets, within, across)
     tops = own.groupBy("star").agg(F.min("first_doc").alias("least")).join(roots, "star", "left")
     tops = cut_lineage(tops.withColumn("root", F.coalesce("root", "star")))
     classes = tops.groupBy("root").agg(F.min("least").alias("class_id"))
