@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from itertools import combinations
 from math import ceil, floor
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -150,6 +151,46 @@ def signatures(name: Column | str, bounds: Bounds, rank: dict[str, int]) -> Colu
     return keys(name)
 
 
+#: Longs of 64 bits that hold the tokens of a name.
+MARKS = 16
+
+
+def _marked(name: str, gram: int) -> list[int]:
+    """A bit for each token of a name, repeated ones by their number, as signed longs."""
+    bits, seen = 0, Counter()
+    for i in range(len(name) - gram + 1):
+        token = name[i : i + gram]
+        bits |= 1 << crc32(f"{token}{seen[token] or ''}".encode("utf-8", "surrogatepass")) % (64 * MARKS)
+        seen[token] += 1
+    return np.frombuffer(bits.to_bytes(8 * MARKS, "little"), "<i8").tolist()
+
+
+def marks(name: Column | str, bounds: Bounds) -> Column:
+    """The tokens of a name as ``MARKS`` longs: struct of m0, m1, ..."""
+    gram, names = bounds.gram, [f"m{i}" for i in range(MARKS)]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def bits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([_marked(s, gram) for s in batch], columns=names)
+
+    return bits(name)
+
+
+def may_share(a: str, b: str, bounds: Bounds) -> Column:
+    """May the names of two aliases (len, m0, ...) share the tokens that different matching names do?
+
+    A bit that one of them has alone is a token that they do not share.
+    """
+    total = F.col(f"{a}.len") + F.col(f"{b}.len")
+    need = F.ceil(bounds.t * total / 2 - _EPS)
+    shared = need if bounds.gram == 1 else 3 * need - 1 - total
+    apart = sum(
+        (F.bit_count(F.col(f"{a}.m{i}").bitwiseXOR(F.col(f"{b}.m{i}"))) for i in range(MARKS)), F.lit(0)
+    )
+    return apart <= total - 2 * (bounds.gram - 1) - 2 * F.greatest(shared, F.lit(0))
+
+
 def is_similar(new: Column | str, kept: Column | str, t: float) -> Column:
     """Does the ratio of (new, kept) reach t?  The order matters."""
 
