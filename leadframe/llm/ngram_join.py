@@ -53,6 +53,8 @@ SKETCH = 0.6
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 18
 #: Rows of a key above which they are dealt in ``SALTS`` parts.
 HOT, SALTS = 4096, 16
+#: Bits of the filter that drops rows of other keys before a shuffle: 2 MB, whatever the tables.
+PLACES = 1 << 24
 
 _U = np.uint64
 _M1, _M2, _S1, _S2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(30), _U(27)
@@ -123,13 +125,13 @@ def sampled(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4").astype(_U)
 
 
-def children(grams: np.ndarray, node: int, threshold: float) -> np.ndarray:
-    """Nodes below ``node`` that a set goes to: one per chosen token."""
+def children(grams: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes below ``nodes`` that a set goes to, one per chosen token, and the place of the node above each."""
     if not len(grams):
-        return grams
-    value = mixed(grams ^ _U(node))
-    chosen = value < _U(_below(1 / (threshold * len(grams))))
-    return mixed(value[chosen] ^ _U(node * int(_M1) & 2**64 - 1))
+        return grams, np.empty(0, np.int64)
+    value = mixed(grams ^ nodes[:, None])
+    above, at = np.nonzero(value < _U(_below(1 / (threshold * len(grams)))))
+    return mixed(value[above, at] ^ nodes[above] * _M1), above
 
 
 def runs(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -168,17 +170,37 @@ def _follow(threshold: float):
     @F.pandas_udf("array<long>")
     def follow(samples: pd.Series, nodes: pd.Series) -> pd.Series:
         return pd.Series([
-            np.concatenate([children(sampled(s), int(v) & (2**64 - 1), threshold) for v in ns]).view(np.int64)
+            children(sampled(s), np.asarray(ns, np.int64).view(_U), threshold)[0].view(np.int64)
             for s, ns in zip(samples, nodes)
         ])
 
     return follow
 
 
+def _follow_twice(threshold: float):
+    """Rows (sid, node, below): each node below those of a set, with the nodes below it."""
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sids, found, below = [], [], []
+            for sid, data, nodes in zip(batch["sid"], batch["sample"], batch["nodes"]):
+                grams = sampled(data)
+                reached, _ = children(grams, np.asarray(nodes, np.int64).view(_U), threshold)
+                next_ones, above = children(grams, reached, threshold)
+                sids += [sid] * len(reached)
+                found += reached.view(np.int64).tolist()
+                ends = np.searchsorted(above, np.arange(len(reached) + 1))
+                below += [next_ones[a:b].view(np.int64) for a, b in zip(ends, ends[1:])]
+            yield pd.DataFrame({"sid": sids, "node": found, "below": below})
+
+    return follow
+
+
 def _meetings(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Nodes whose sets are compared: (node, sid, size).
 
-    ``sid`` is a hash of the set's id; sets with an equal one share all their nodes.
+    ``sid`` is a hash of the set's id; sets with an equal one share all their nodes.  Samples are wide:
+    where they are fetched, two levels are followed, so that every other one needs no join.
     """
     roots = [int(x) for x in mixed(np.arange(1, runs(recall) + 1, dtype=_U)).view(np.int64)]
     start = F.array(*[F.lit(r) for r in roots])
@@ -187,7 +209,7 @@ def _meetings(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     level = sets.select("sid", F.explode(follow("sample", start)).alias("node"))
     done, old = [], []
     for depth in range(1, DEPTH + 1):
-        level = cut_lineage(level.distinct() if depth > 1 else level)
+        level = cut_lineage(level)
         old.append(level)
         met = _counted(level, "node", "size", least=2, spread="sid")
         if depth == DEPTH:
@@ -196,14 +218,18 @@ def _meetings(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         met = cut_lineage(met)
         old.append(met)
         done.append(met.where(F.col("size") <= LIMIT))
-        large = met.where(F.col("size") > LIMIT).groupBy("sid").agg(F.collect_list("node").alias("nodes"))
-        level = large.join(sets, "sid").select(
-            "sid", F.explode(follow("sample", "nodes")).alias("node")
-        )
+        large = met.where(F.col("size") > LIMIT)
+        if "below" in large.columns:
+            level = large.select("sid", F.explode("below").alias("node"))
+            continue
+        nodes = large.groupBy("sid").agg(F.collect_list("node").alias("nodes"))
+        level = nodes.join(sets, "sid").select("sid", "sample", "nodes").mapInPandas(
+            _follow_twice(threshold), "sid long, node long, below array<long>")
+    done = [x.select("node", "sid", "size") for x in done]
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = cut_lineage(out.select("node", "sid", "size"))
+    out = cut_lineage(out)
     _discard_all(*old)
     return out
 
@@ -224,7 +250,24 @@ def _counted(rows: DataFrame, key: str, name: str, least: int = 1, spread: str =
     """Written rows with the number of rows of their key."""
     sizes = rows.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) >= least)
     sizes = cut_lineage(sizes)
-    return _by_key(rows, sizes, key, sizes.where(F.col(name) > HOT).select(key), spread)
+    # a table of its own: by the size of all keys it would be joined by a shuffle of the rows
+    hot = cut_lineage(sizes.where(F.col(name) > HOT).select(key))
+    return _by_key(rows, sizes, key, hot, spread)
+
+
+def _perhaps(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be one of ``wanted``, a column of that name: all of those, few others.
+
+    A bit for each hash of a wanted key, in maps of a fixed size.  The more keys there are, the more
+    other rows stay; a join decides.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES)) + 1
+    bits = wanted.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_map"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    rows = rows.withColumn("_map", F.bitmap_bucket_number(place)).withColumn("_at", F.bitmap_bit_position(place))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), "_map").where(F.getbit(byte, F.pmod("_at", F.lit(8)).cast("int")) == 1)
+    return found.drop("_map", "_at", "_bits")
 
 
 def _discard_all(*tables: DataFrame) -> None:
@@ -462,19 +505,25 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def _with_grams(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
-    """All tokens of some sets, from one document each (repeated rows give some twice): (set_id, copies, grams)."""
+    """Some sets with all their tokens, ``grams``, in place of ``first_key``: from one document each.
+
+    Repeated rows give some twice.
+    """
+    columns = [c for c in sets.columns if c != "first_key"]
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             grams = [tokens(t) for t in batch["text"]]
             same = np.array([set_id(g) == i for g, i in zip(grams, batch["set_id"])], bool)
-            batch = batch[["set_id", "copies"]].assign(grams=[g.tobytes() for g in grams])
+            batch = batch[columns].assign(grams=[g.tobytes() for g in grams])
             yield batch[same]
 
     rows = docs.select("doc_id", text_of(text).alias("text")).select(_key().alias("first_key"), "text")
+    rows = _perhaps(rows, "first_key", sets)  # most texts need not travel
     # a filter on a function of the text would become a key of the join: all texts would be described before it
-    found = rows.join(sets.hint("merge"), "first_key").select("set_id", "copies", "text")
-    return found.mapInPandas(describe, "set_id binary, copies long, grams binary")
+    found = rows.join(sets.hint("merge"), "first_key").select(*columns, "text")
+    kinds = [f"{c} {sets.schema[c].dataType.simpleString()}" for c in columns]
+    return found.mapInPandas(describe, ", ".join([*kinds, "grams binary"]))
 
 
 def _key():
@@ -571,14 +620,19 @@ def _classes(
     near = cells.join(sets.select("set_id", "sample"), "set_id")
     near = cut_lineage(_dealt(near).mapInPandas(_near, NEAR))
     discard(cells)
-    chosen = sets.select("set_id", "first_key", "copies").join(near.select("set_id").distinct(), "set_id")
-    chosen = cut_lineage(chosen)
+    # a set has one block and no, one or several blocks beside it
+    places = near.groupBy("set_id").agg(
+        F.bool_or("same").alias("inside"), F.bool_or(~F.col("same")).alias("beside"),
+        F.coalesce(F.max(F.when(F.col("same"), F.col("cell"))), F.lit(0)).alias("cell"),
+    )
+    chosen = cut_lineage(sets.select("set_id", "first_key", "copies").join(places, "set_id"))
     grams = cut_lineage(_with_grams(docs, chosen, text))
     # blocks, then blocks with blocks
-    within = _dealt(near.where("same").join(grams, "set_id").select("cell", "set_id", "grams", "copies"))
+    within = _dealt(grams.where("inside").select("cell", "set_id", "grams", "copies"))
     within = cut_lineage(within.mapInPandas(_block_stars(threshold), FOUND))
     stars = within.where("set_id IS NOT NULL").select("set_id", "star")
-    across = near.where("NOT same").join(grams, "set_id").join(stars, "set_id", "left").select(
+    more = grams.where("beside").select("set_id", "grams", "copies")
+    across = near.where("NOT same").join(more, "set_id").join(stars, "set_id", "left").select(
         "cell", "side", "set_id", F.coalesce("star", "set_id").alias("star"), "grams", "copies")
     across = cut_lineage(_dealt(across).mapInPandas(_star_pairs(threshold), FOUND))
     _discard_all(near, chosen, grams)

@@ -45,3 +45,48 @@ def test_tables_of_the_rounds_are_gone(spark):
     assert sorted(r["n_links"] for r in rows) == [0] * 12 + [11] * 12
     left = [spark.read.parquet(f"{folder}/{x}").columns for x in set(os.listdir(folder)) - before]
     assert left and not [c for c in left if {"grams", "cell", "block"} & set(c) or "node" in c and "sid" in c]
+
+
+def test_texts_of_other_documents_do_not_travel(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = docs.select(F.col("doc_id").alias("first_key"), "text")
+    wanted = spark.createDataFrame([(k,) for k in range(0, 20_000, 400)], "first_key long")
+    got = {r["first_key"] for r in J._perhaps(rows, "first_key", wanted).collect()}
+    assert got >= set(range(0, 20_000, 400)) and len(got) < 60
+    none = wanted.where("first_key < 0")
+    assert J._perhaps(rows, "first_key", none).isEmpty()
+    sets = wanted.select(F.lit(b"x").alias("set_id"), "first_key", F.lit(1).cast("long").alias("copies"))
+    plan = J._with_grams(docs, J.cut_lineage(sets), "text")._jdf.queryExecution().optimizedPlan().toString()
+    # the filter stands below the join by the key
+    assert "getbit" in plan.split("Join", 1)[1]
+
+
+def test_samples_are_fetched_once_and_tokens_move_where_they_are_compared(spark, monkeypatch):
+    plans, write = [], J.cut_lineage
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(J, "cut_lineage", kept)
+    monkeypatch.setattr(J, "BLOCK_SETS", 8)
+    rows = J.joined(near_copies(spark, 60)).collect()
+    assert sorted(r["n_links"] for r in rows) == [0] * 60 + [59] * 60
+    # the recursion: one join of nodes with samples
+    assert len([p for p in plans if "Join" in p and "follow(" in p]) == 1
+    # a block's tokens come as they are written; those of other cells only from sets that take part
+    moved = [p for p in plans if "grams" in p and "RepartitionByExpression" in p]
+    assert len(moved) == 2 and "Join" not in moved[0] and "beside" in moved[1]
+
+
+def test_two_levels_at_once_are_those_of_two_steps():
+    grams = J.np.unique(J.mixed(J.np.arange(40, dtype=J._U)) >> J._U(32))
+    nodes = J.mixed(J.np.arange(5, dtype=J._U))
+    below, above = J.children(grams, nodes, 0.8)
+    single = [J.children(grams, nodes[k : k + 1], 0.8)[0] for k in range(5)]
+    assert [x for s in single for x in s] == list(below) and list(above) == sorted(above)
+    batch = J.pd.DataFrame({"sid": [7], "sample": [grams.astype("<u4").tobytes()], "nodes": [nodes.view("i8")]})
+    got = next(J._follow_twice(0.8)(iter([batch])))
+    assert list(got["node"].to_numpy().view(J._U)) == list(below)
+    want = [list(J.children(grams, below[k : k + 1], 0.8)[0].view("i8")) for k in range(len(below))]
+    assert [list(x) for x in got["below"]] == want
