@@ -239,3 +239,173 @@ def _compare_batch(new: pd.Series, kept: pd.Series, t: float) -> list[bool]:
         matcher.set_seq1(news[i])
         hits[i] = matcher.quick_ratio() >= t and matcher.ratio() >= t
     return hits
+
+
+#: Columns of the most frequent characters of a table of names, and those that all others share.
+_OWN, _SHARED = 224, 32
+#: Words of 64 bits for the bigrams of a name; bins of its characters, the last one without a character.
+_WORDS, _LETTERS = 16, 256
+#: Rows and columns of a tile of pairs; longest names whose common subsequence is found for all pairs at once.
+_ROWS, _COLUMNS, _SHORT, _LONG = 512, 2048, 64, 128
+
+
+def _numbered(row: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """How often a token stands before in its row."""
+    order = np.lexsort((token, row))
+    r, t = row[order], token[order]
+    fresh = np.ones(len(r), bool)
+    fresh[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1])
+    at = np.arange(len(r))
+    out = np.empty(len(r), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return out
+
+
+class Names:
+    """Names as arrays, so that what two of them share is bounded for many pairs at once.
+
+    ``counts``: a character and its number in the name have a column, so the product of two rows is the
+    number of characters both names have; rare ones share columns, which can only raise it.  ``bits``:
+    the bigrams as in ``marks``.  ``letters``: the characters in order.  ``like``: names whose columns are used.
+    """
+
+    def __init__(self, names: list[str], like: Names | None = None):
+        n = len(names)
+        self.names = np.array(names, object)
+        self.len = np.fromiter(map(len, names), np.int64, n)
+        codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(n), self.len)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(self.len) - self.len, self.len)
+        token = codes << 32 | _numbered(row, codes)
+        if like is None:
+            self.tokens, count = np.unique(token, return_counts=True)
+            rank = np.empty(len(count), np.int64)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+            self.columns = np.where(rank < _OWN, rank, _OWN + rank % _SHARED)
+        else:
+            self.tokens, self.columns = like.tokens, like.columns
+        width = _OWN + _SHARED
+        if len(self.tokens):
+            at = np.searchsorted(self.tokens, token).clip(max=len(self.tokens) - 1)
+            known = self.tokens[at] == token  # others are in no name of ``like``
+            cells = row[known] * width + self.columns[at[known]]
+        else:
+            cells = np.zeros(0, np.int64)
+        self.counts = np.bincount(cells, minlength=n * width).reshape(n, width).astype(np.float32)
+        self.bits = np.zeros(n * _WORDS, np.uint64)
+        same = row[1:] == row[:-1]
+        grams, home = (codes[:-1] << 21 | codes[1:])[same], row[1:][same]
+        mixed = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed + _numbered(home, grams).astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        bit = (mixed >> np.uint64(54)).astype(np.int64) % (64 * _WORDS)
+        np.bitwise_or.at(self.bits, home * _WORDS + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+        self.bits = self.bits.reshape(n, _WORDS)
+        self.letters = np.full((n, _LONG), _LETTERS, np.uint16)
+        short = place < _LONG
+        self.letters[row[short], place[short]] = codes[short] % _LETTERS
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def take(self, rows: np.ndarray) -> Names:
+        """Some of the names."""
+        out = object.__new__(Names)
+        out.tokens, out.columns = self.tokens, self.columns
+        for part in ("names", "len", "counts", "bits", "letters"):
+            setattr(out, part, getattr(self, part)[rows])
+        return out
+
+    def places(self) -> np.ndarray:
+        """A bit for each place of each bin of characters, one row of bins per name; of short names only."""
+        n, wide = len(self), _LETTERS + 1
+        out = np.zeros(n * wide, np.uint64)
+        for k in range(min(_SHORT, int(self.len.max(initial=0)))):
+            out[np.arange(n) * wide + self.letters[:, k]] |= np.uint64(1 << k)
+        out.reshape(n, wide)[:, _LETTERS] = 0
+        return out
+
+
+def _common(later: Names, i: np.ndarray, earlier: Names, j: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of bins of pairs of names, or more (bit-parallel, Hyyro 2004)."""
+    found = np.full(len(i), np.iinfo(np.int64).max)
+    ready = np.flatnonzero((later.len[i] <= _LONG) & (earlier.len[j] <= _SHORT))
+    for at in range(0, len(ready), 32768):
+        pairs = ready[at : at + 32768]
+        one, two = i[pairs], j[pairs]
+        base = two * (_LETTERS + 1)
+        row = np.full(len(pairs), ~np.uint64(0))
+        for k in range(int(later.len[one].max())):
+            met = row & places[base + later.letters[one, k]]
+            row = (row + met) | (row - met)
+        inside = np.where(earlier.len[two] < 64, (np.uint64(1) << (earlier.len[two] % 64).astype(np.uint64)), 0)
+        found[pairs] = np.bitwise_count(~row & (inside.astype(np.uint64) - np.uint64(1)))
+    return found
+
+
+def _subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence of two names of any length."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = row = (1 << len(b)) - 1
+    for c in a:
+        met = row & places.get(c, 0)
+        row = (row + met | row - met) & whole
+    return len(b) - row.bit_count()
+
+
+def near(later: Names, earlier: Names, bounds: Bounds) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of later, rows of earlier) that may match, those with most in common first in each part.
+
+    All pairs of a tile are multiplied; those with too few common characters, then bigrams, then too short a
+    common subsequence are out.  Each of the three is a bound for the ratio, so no pair that matches is lost.
+    """
+    t, r = bounds.t, bounds.ratio
+    first, second = np.argsort(later.len, kind="stable"), np.argsort(earlier.len, kind="stable")
+    lengths, places = earlier.len[second], earlier.places()
+    other = earlier.counts[second].T.copy()
+    for at in range(0, len(first), _ROWS):
+        rows = first[at : at + _ROWS]
+        own, own_len = later.counts[rows], later.len[rows]
+        low = np.searchsorted(lengths, own_len[0] * r - _EPS)
+        high = np.searchsorted(lengths, own_len[-1] / r + _EPS, "right")
+        parts = []
+        for start in range(low, high, _COLUMNS):
+            end = min(start + _COLUMNS, high)
+            shared = own @ other[:, start:end]
+            shared -= (own_len * (t / 2)).astype(np.float32)[:, None]
+            over = shared >= (lengths[start:end] * (t / 2 - 1e-4) - 0.01).astype(np.float32)  # for roundings
+            cells = np.flatnonzero(over)
+            i, j = rows[cells // (end - start)], second[start + cells % (end - start)]
+            total = later.len[i] + earlier.len[j]
+            need = np.ceil(t * total / 2 - _EPS).astype(np.int64)
+            if bounds.gram == 2:
+                grams = np.maximum(3 * need - 1 - total, 0)
+                apart = np.bitwise_count(later.bits[i] ^ earlier.bits[j]).sum(1, dtype=np.int64)
+                good = apart <= total - 2 - 2 * grams
+                cells, i, j, need = cells[good], i[good], j[good], need[good]
+            good = _common(later, i, earlier, j, places) >= need
+            parts.append((i[good], j[good], shared.ravel()[cells[good]]))
+        if parts:
+            i, j, most = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(-most, kind="stable")
+            yield i[order], j[order]
+
+
+class Pairs:
+    """The exact test of pairs; the index of an earlier name is built once."""
+
+    def __init__(self, bounds: Bounds):
+        self.bounds, self.made = bounds, {}
+
+    def alike(self, new: str, kept: str) -> bool:
+        t = self.bounds.t
+        if max(len(new), len(kept)) > _SHORT and 2 * _subsequence(new, kept) < t * (len(new) + len(kept)) - _EPS:
+            return False
+        matcher = self.made.get(kept)
+        if matcher is None:
+            if len(self.made) >= 2048:
+                self.made.clear()
+            matcher = self.made[kept] = SequenceMatcher(None, "", kept)
+        matcher.set_seq1(new)
+        return matcher.ratio() >= t
