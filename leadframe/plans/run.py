@@ -18,6 +18,12 @@ from leadframe.operators.validate import (
     successful_sources,
     valid_rows,
 )
+from leadframe.session import cut_lineage
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """The rows written once, as name matching reads them twice; a column without a type cannot be written."""
+    return df if "void" in df.schema.simpleString() else cut_lineage(df)
 
 
 @dataclass
@@ -63,7 +69,7 @@ def run_leads(
         df = (
             dedup.first_per_domain(df)
             if o.name_threshold is None
-            else dedup.deduplicate(df, o.name_threshold)
+            else dedup.deduplicate(_once(df), o.name_threshold)
         )
     df = seen(df, "distinct")
     if o.enrich and enrichers:
