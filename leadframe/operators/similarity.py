@@ -9,6 +9,9 @@ share c tokens have at least k common ones among the first ``n - c + k`` of each
 (prefix filter, Chaudhuri et al. 2006; k > 1 after Wang et al. 2012).  Names of
 ordinary length use pairs of tokens (k = 2) as keys, which are far more
 selective than single ones.
+
+Within one run names meet as arrays instead (``near``): three bounds of the ratio, each for many pairs at
+once, leave hardly more than the pairs that match.
 """
 
 from __future__ import annotations
